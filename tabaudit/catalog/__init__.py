@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabaudit.catalog import cleaning
+from tabaudit.catalog import cleaning, corruption
 from tabaudit.catalog.base import Query
 
-_PARTS = (cleaning,)
+_PARTS = (cleaning, corruption)
 
 
 def all_queries() -> dict[str, Query]:
