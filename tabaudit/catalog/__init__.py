@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabaudit.catalog import cleaning, corruption
+from tabaudit.catalog import cleaning, corruption, slicing
 from tabaudit.catalog.base import Query
 
-_PARTS = (cleaning, corruption)
+_PARTS = (cleaning, corruption, slicing)
 
 
 def all_queries() -> dict[str, Query]:
@@ -19,4 +19,4 @@ def all_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return all_queries()["q_roles"](spark, folder)
+    return all_queries()["q_numeric_audit_add"](spark, folder)

@@ -26,14 +26,10 @@ def ks_floor(na: Column, nb: Column) -> Column:
     return F.lit(1.36) * F.sqrt((na + nb) / (na.cast("double") * nb))
 
 
-def ks_direct(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str = "x", n: str = "n") -> DataFrame:
-    """Distance per key from two histograms (keys, x, n); for bounded groups."""
+def ks_counts(rows: DataFrame, keys: Sequence[str], x: str, a: Column, z: Column) -> DataFrame:
+    """Distance per key where ``a`` and ``z`` count a row into the two samples; for bounded groups."""
     keys = list(keys)
-    zero = F.lit(0).cast("long")
-    both = a.select(*keys, F.col(x).alias("_x"), F.col(n).alias("_a"), zero.alias("_z")).unionByName(
-        b.select(*keys, F.col(x).alias("_x"), zero.alias("_a"), F.col(n).alias("_z"))
-    )
-    steps = both.groupBy(*keys, "_x").agg(F.sum("_a").alias("_a"), F.sum("_z").alias("_z"))
+    steps = rows.groupBy(*keys, F.col(x).alias("_x")).agg(F.sum(a).alias("_a"), F.sum(z).alias("_z"))
     run = Window.partitionBy(*keys).orderBy("_x")
     steps = steps.select(*keys, F.sum("_a").over(run).alias("_ca"), F.sum("_z").over(run).alias("_cz"),
                          F.sum("_a").over(Window.partitionBy(*keys)).alias("_na"),
@@ -43,6 +39,16 @@ def ks_direct(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str = "x", n:
     return steps.groupBy(*keys).agg(F.max(F.when(small, F.lit(0.0)).otherwise(gap)).alias("ks"))
 
 
+def ks_direct(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str = "x", n: str = "n") -> DataFrame:
+    """Distance per key from two histograms (keys, x, n); for bounded groups."""
+    keys = list(keys)
+    zero = F.lit(0).cast("long")
+    both = a.select(*keys, F.col(x).alias("_v"), F.col(n).alias("_p"), zero.alias("_q")).unionByName(
+        b.select(*keys, F.col(x).alias("_v"), zero.alias("_p"), F.col(n).alias("_q"))
+    )
+    return ks_counts(both, keys, "_v", F.col("_p"), F.col("_q"))
+
+
 def ks_grid(
     a: DataFrame,
     b: DataFrame,

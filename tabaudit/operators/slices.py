@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabaudit.functions.ks import ks_direct, ks_floor, ks_grid
+from tabaudit.functions.ks import ks_counts, ks_direct, ks_floor, ks_grid
 from tabaudit.functions.lineage import cut
 from tabaudit.functions.order_stats import group_quantiles, value_edges
 from tabaudit.functions.predicates import as_number, is_whole
@@ -259,14 +259,16 @@ def permutation_floor(samples: DataFrame, cand: DataFrame, opt: SliceOptions) ->
     r = samples.filter("part = 'R'")
     m = F.least(F.least(F.floor(F.col("n_a") / 2), F.lit(opt.fold_cap)), F.floor(F.least(F.col("n_b"), F.lit(opt.ref_cap)) / 2))
     c = cand.select("cid", m.alias("m"))
-    drawn = r.join(c.filter("m >= 10"), "cid").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(opt.draws - 1))))
+    drawn = r.join(c.filter("m >= 10"), "cid").select("cid", "m", "x", "key", F.explode(F.sequence(F.lit(0), F.lit(opt.draws - 1))).alias("draw"))
+    # one explicit exchange: hashing, ranking and counting all run on the (cid, draw) partitions
+    tasks = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = drawn.repartition(tasks, "cid", "draw")
     h = uniform(F.col("key"), F.concat("cid", F.lit(opt.salt), F.lit("|"), F.col("draw").cast("string")))
     ranked = drawn.select("cid", "draw", "m", "x", h.alias("h"), "key").withColumn(
         "_rank", F.row_number().over(Window.partitionBy("cid", "draw").orderBy("h", "key")))
-    one = F.lit(1).cast("long").alias("n")
-    a = ranked.filter(F.col("_rank") <= F.col("m")).select("cid", "draw", "x", one)
-    b = ranked.filter((F.col("_rank") > F.col("m")) & (F.col("_rank") <= 2 * F.col("m"))).select("cid", "draw", "x", one)
-    d = ks_direct(a, b, ["cid", "draw"])
+    in_a = (F.col("_rank") <= F.col("m")).cast("long")
+    in_b = ((F.col("_rank") > F.col("m")) & (F.col("_rank") <= 2 * F.col("m"))).cast("long")
+    d = ks_counts(ranked.filter(F.col("_rank") <= 2 * F.col("m")), ["cid", "draw"], "x", in_a, in_b)
     tau = d.groupBy("cid").agg(F.percentile("ks", F.lit(0.95)).alias("tau"))
     return c.join(tau, "cid", "left").select("cid", F.coalesce("tau", F.lit(0.05)).alias("tau"))
 
@@ -325,26 +327,37 @@ def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame
     t = cand.join(main, "cid").filter(F.col("stratified") | (F.col("ks0") >= 2 * F.col("floor")))
     if crossfit:
         moves = fit.filter("part <> 'full'").select("cid", "part", "delta").join(med.select("cid", "part", "r"), ["cid", "part"])
-        resid = crossfit_residual(samples, moves)
-        return t.join(resid, "cid").join(permutation_floor(samples, cand, opt), "cid")
+        t = cut(t.join(crossfit_residual(samples, moves), "cid"))
+        # the noise floor is only drawn for the candidates it decides about
+        open_ = t.filter(would_accept("ks_add") & is_steady() | would_accept("ks_mul"))
+        return t.join(permutation_floor(samples, open_, opt), "cid", "left")
     grid = cand.filter(F.col("ratio") > 0).select("cid", F.lit("full").alias("part"), F.lit(0).alias("g"), F.lit(0.0).alias("d"), F.col("ratio").alias("r"))
     mul = Refiner(hist, members, full, edges, direct).distances(grid).select("cid", F.col("ks").alias("ks_m"))
     return t.join(mul, "cid", "left").select(
         "*", F.col("ks_fit").alias("ks_add"), F.coalesce("ks_m", F.lit(1.0)).alias("ks_mul"), F.lit(None).cast("double").alias("tau")).drop("ks_m")
 
 
+def would_accept(ks: str) -> Column:
+    """Every condition on a residual distance except the permutation floor."""
+    k, ks0 = F.col(ks), F.col("ks0")
+    return (k <= 0.25 * ks0) & (k < 0.05) & (ks0 > 2 * F.col("floor"))
+
+
+def is_steady() -> Column:
+    """The offset varies little across strata (or there are no strata to compare)."""
+    return F.col("iqr").isNull() | (F.col("iqr") < 0.5 * F.abs("delta") + 0.05 * F.col("scale"))
+
+
 def decide(t: DataFrame, acceptance: str) -> DataFrame:
     """Findings of the evaluated candidates: additive, multiplicative or unexplained."""
     def aligned(ks: str) -> Column:
         k = F.col(ks)
         if acceptance == "asymptotic":
-            return (k <= F.greatest(0.25 * F.col("ks0"), 1.5 * F.col("floor"))) & (k < 0.05)
-        return (k <= 0.25 * F.col("ks0")) & (k <= F.col("tau")) & (k < 0.05)
+            return (k <= F.greatest(0.25 * F.col("ks0"), 1.5 * F.col("floor"))) & (k < 0.05) & (F.col("ks0") > 2 * F.col("floor"))
+        return would_accept(ks) & F.coalesce(k <= F.col("tau"), F.lit(False))
 
-    strong = F.col("ks0") > 2 * F.col("floor")
-    steady = F.col("iqr").isNull() | (F.col("iqr") < 0.5 * F.abs("delta") + 0.05 * F.col("scale"))
-    add = aligned("ks_add") & strong & steady
-    mul = ~add & aligned("ks_mul") & strong & F.coalesce(F.abs(F.col("ratio") - 1) > 0.05, F.lit(False))
+    add = aligned("ks_add") & is_steady()
+    mul = ~add & aligned("ks_mul") & F.coalesce(F.abs(F.col("ratio") - 1) > 0.05, F.lit(False))
     other = ~add & ~mul & (F.col("ks0") >= 0.20) & (F.col("sign") >= 0.90) & (F.abs("delta") > 0.25 * F.col("scale"))
     kind = F.when(add, "additive_shift").when(mul, "multiplicative_shift").when(other, "unexplained_shift")
     t = t.withColumn("kind", kind).filter("kind is not null")
