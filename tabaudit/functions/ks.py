@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabaudit.functions.order_stats import bucket_by, bucket_of, cumulative, value_edges
+from tabaudit.functions.lineage import cut
+from tabaudit.functions.order_stats import FINE, bucket_by, bucket_of, cumulative, value_edges
 
 MIN_SIDE = 6  # a side with fewer values gives distance 0
 
@@ -60,31 +61,39 @@ def ks_grid(
     edges: Mapping[str, Sequence[float]],
     edges_key: str,
     direct: bool = False,
+    fine: int = FINE,
 ) -> DataFrame:
     """Distance of every (problem, grid point): columns problem.., g, d, r, ks.
 
     a        problem.., edges_key, x, n   sample A of each problem
-    b        base.., x, n                 histogram sample B is made of
+    b        base.., edges_key, x, n      histogram sample B is made of
     members  problem.., base..            the base groups that make up B
-    grid     problem.., g, d, r           the moves to try on A
+    grid     problem.., g, d, r, exact    the moves to try on A
     direct   skip the bounding step (small histograms)
+
+    Where ``exact`` is false only the smallest distance of the problem is asked
+    for: points that cannot be it keep a lower bound, which is larger.
     """
     problem, base = list(problem), list(base)
-    point = [*problem, "g"]
-    moved = a.join(grid, problem).select(*point, edges_key, ((F.col("x") - F.col("d")) / F.col("r")).alias("x"), "n")
+    # long keys: problems and groups are joined and sorted as one number each
+    pid, gid = F.xxhash64(*problem).alias("_p"), F.xxhash64(*base).alias("_k")
+    point = ["_p", "g"]
+    points = grid.select("*", pid)
+    mem = cut(members.select(pid, gid))
+    moved = a.join(grid, problem).select(pid, "g", edges_key, ((F.col("x") - F.col("d")) / F.col("r")).alias("x"), "n")
+    fixed = b.select(gid, F.col(edges_key).alias("_e"), "x", "n")
     if direct:
-        fixed = b.join(members, base).join(grid.select(*point), problem).select(*point, "x", "n")
-        return grid.join(ks_direct(moved, fixed, point), point)
+        both = fixed.join(mem, "_k").join(points.select(*point), "_p").select(*point, "x", "n")
+        return points.join(ks_direct(moved, both, point), point).drop("_p")
 
-    moved = moved.withColumn("_b", bucket_by(F.col("x"), F.col(edges_key), edges))
-    hist_b = b.withColumn("_b", bucket_by(F.col("x"), F.col(edges_key), edges))
+    moved = moved.select(*point, bucket_by(F.col("x"), F.col(edges_key), edges, fine).alias("_b"), "x", "n")
+    fixed = fixed.select("_k", bucket_by(F.col("x"), F.col("_e"), edges, fine).alias("_b"), "x", "n")
     zero = F.lit(0).cast("long")
     a_counts = moved.groupBy(*point, "_b").agg(F.sum("n").alias("_a"))
-    b_counts = hist_b.groupBy(*base, "_b").agg(F.sum("n").alias("_z"))
-    b_counts = b_counts.join(members, base).groupBy(*problem, "_b").agg(F.sum("_z").alias("_z"))
+    b_counts = fixed.groupBy("_k", "_b").agg(F.sum("n").alias("_z")).join(mem, "_k").groupBy("_p", "_b").agg(F.sum("_z").alias("_z"))
     counts = (
         a_counts.withColumn("_z", zero)
-        .unionByName(b_counts.join(grid.select(*point), problem).withColumn("_a", zero).select(*point, "_b", "_a", "_z"))
+        .unionByName(b_counts.join(points.select(*point), "_p").select(*point, "_b", zero.alias("_a"), "_z"))
         .groupBy(*point, "_b")
         .agg(F.sum("_a").alias("_a"), F.sum("_z").alias("_z"))
     )
@@ -97,25 +106,26 @@ def ks_grid(
     ).filter((F.col("_na") >= MIN_SIDE) & (F.col("_nz") >= MIN_SIDE))
     fa, fz = F.col("_ca") / F.col("_na"), F.col("_cz") / F.col("_nz")
     fa0, fz0 = (F.col("_ca") - F.col("_a")) / F.col("_na"), (F.col("_cz") - F.col("_z")) / F.col("_nz")
-    counts = counts.withColumn("_at", F.abs(fa - fz)).withColumn("_cap", F.greatest(fa - fz0, fz - fa0))
-    known = F.max("_at").over(w)
-    counts = counts.withColumn("_known", known)
-    # one value per bucket side cannot exceed what its end already shows
-    open_ = counts.filter((F.col("_cap") > F.col("_known")) & (F.col("_a") + F.col("_z") > 1)).select(
-        *point, "_b", (F.col("_ca") - F.col("_a")).alias("_ca0"), (F.col("_cz") - F.col("_z")).alias("_cz0"), "_na", "_nz"
-    )
-    in_a = moved.join(open_, [*point, "_b"]).select(
-        *point, "_b", "_ca0", "_cz0", "_na", "_nz", F.col("x").alias("_x"), F.col("n").alias("_a"), zero.alias("_z"))
-    open_b = open_.join(members, problem)
-    in_b = hist_b.join(open_b, [*base, "_b"]).select(
-        *point, "_b", "_ca0", "_cz0", "_na", "_nz", F.col("x").alias("_x"), zero.alias("_a"), F.col("n").alias("_z"))
+    at, cap = F.abs(fa - fz), F.greatest(fa - fz0, fz - fa0)
+    counts = counts.withColumn("_at", at).withColumn("_cap", F.when(F.col("_a") + F.col("_z") > 1, F.greatest(at, cap)).otherwise(at))
+    counts = cut(counts.withColumn("_known", F.max("_at").over(w)))
+    bounds = counts.groupBy(*point).agg(F.max("_known").alias("_known"), F.max("_cap").alias("_most"))
+    bounds = points.join(bounds, point).withColumn("_limit", F.min("_most").over(Window.partitionBy("_p")))
+    live = bounds.filter(F.col("exact") | (F.col("_known") <= F.col("_limit"))).select(*point)
+    # written out, so that its size is known: the rows of A and B meet it in a broadcast join when it is
+    # small and only those in open buckets are shuffled
+    open_ = cut(counts.join(live, point).filter(F.col("_cap") > F.col("_known")).select(
+        *point, "_b", (F.col("_ca") - F.col("_a")).alias("_ca0"), (F.col("_cz") - F.col("_z")).alias("_cz0"), "_na", "_nz"))
+    open_b = cut(open_.join(mem, "_p"))
     fixed_cols = [*point, "_b", "_ca0", "_cz0", "_na", "_nz"]
+    in_a = moved.join(open_, [*point, "_b"]).select(*fixed_cols, F.col("x").alias("_x"), F.col("n").alias("_a"), zero.alias("_z"))
+    in_b = fixed.join(open_b, ["_k", "_b"]).select(*fixed_cols, F.col("x").alias("_x"), zero.alias("_a"), F.col("n").alias("_z"))
     steps = in_a.unionByName(in_b).groupBy(*fixed_cols, "_x").agg(F.sum("_a").alias("_a"), F.sum("_z").alias("_z"))
     inner = Window.partitionBy(*point, "_b").orderBy("_x")
     gap = F.abs((F.col("_ca0") + F.sum("_a").over(inner)) / F.col("_na") - (F.col("_cz0") + F.sum("_z").over(inner)) / F.col("_nz"))
     seen = steps.select(*point, gap.alias("_at")).unionByName(counts.select(*point, "_at"))
     best = seen.groupBy(*point).agg(F.max("_at").alias("ks"))
-    return grid.join(best, point, "left").withColumn("ks", F.coalesce("ks", F.lit(0.0)))
+    return points.join(best, point, "left").withColumn("ks", F.coalesce("ks", F.lit(0.0))).drop("_p")
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
@@ -126,7 +136,7 @@ def ks_two_sample(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str = "x")
     edges = {"": value_edges(a.select(F.col(x).alias("x")).unionByName(b.select(F.col(x).alias("x"))), ["x"])["x"]}
     side = F.lit("").alias("_side")
     cells = ha.select(*keys).distinct()
-    grid = cells.select(*keys, F.lit(0).alias("g"), F.lit(0.0).alias("d"), F.lit(1.0).alias("r"))
+    grid = cells.select(*keys, F.lit(0).alias("g"), F.lit(0.0).alias("d"), F.lit(1.0).alias("r"), F.lit(True).alias("exact"))
     members = cells.select(*[F.col(k) for k in keys], *[F.col(k).alias(f"_k_{k}") for k in keys])
     hb = hb.select(*[F.col(k).alias(f"_k_{k}") for k in keys], side, "x", "n")
     out = ks_grid(ha.withColumn("_side", F.lit("")), hb, members, grid, problem=keys,

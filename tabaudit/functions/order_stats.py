@@ -54,14 +54,19 @@ def bucket_of(x: Column, edges: Sequence[float], fine: int = FINE) -> Column:
     return F.when(x.isNotNull(), tree(0, len(edges) - 1)).cast("int")
 
 
-def bucket_by(x: Column, name: Column, edges: Mapping[str, Sequence[float]]) -> Column:
+def fine_for(n_rows: int, per_bucket: int = 200) -> int:
+    """Cuts per coarse bucket, so that a bucket holds a few hundred rows up to 10^7 of them, then grows slowly."""
+    return int(min(4096, max(8, n_rows // (COARSE * per_bucket))))
+
+
+def bucket_by(x: Column, name: Column, edges: Mapping[str, Sequence[float]], fine: int = FINE) -> Column:
     """Bucket number where the edges depend on the column ``name`` (long form)."""
     items = list(edges.items())
     if len(items) == 1:
-        return bucket_of(x, items[0][1])
-    out = F.when(name == F.lit(items[0][0]), bucket_of(x, items[0][1]))
+        return bucket_of(x, items[0][1], fine)
+    out = F.when(name == F.lit(items[0][0]), bucket_of(x, items[0][1], fine))
     for key, e in items[1:]:
-        out = out.when(name == F.lit(key), bucket_of(x, e))
+        out = out.when(name == F.lit(key), bucket_of(x, e, fine))
     return out
 
 
@@ -77,6 +82,7 @@ def group_quantiles(
     edges: Sequence[float] | Mapping[str, Sequence[float]] | None = None,
     edges_key: str | None = None,
     count: str = "n",
+    fine: int = FINE,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of ``x`` per group.
 
@@ -87,7 +93,7 @@ def group_quantiles(
     keys, group = list(keys), list(group or keys)
     if edges is None:
         edges = value_edges(rows, [x])[x]
-    bucket = bucket_by(F.col(x), F.col(edges_key), edges) if edges_key else bucket_of(F.col(x), edges)
+    bucket = bucket_by(F.col(x), F.col(edges_key), edges, fine) if edges_key else bucket_of(F.col(x), edges, fine)
     wt = F.col(weight) if weight else F.lit(1)
     base = rows.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), wt.cast("long").alias("_n"), bucket.alias("_b"))
 

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tabaudit.functions.ks import ks_counts, ks_direct, ks_floor, ks_grid
 from tabaudit.functions.lineage import cut
-from tabaudit.functions.order_stats import group_quantiles, value_edges
+from tabaudit.functions.order_stats import fine_for, group_quantiles, value_edges
 from tabaudit.functions.predicates import as_number, is_whole
 from tabaudit.functions.rng import key_text, uniform
 from tabaudit.operators import findings as FD
@@ -34,7 +34,7 @@ PAIRWISE_LEVELS = 6
 REST = "*"  # the stratum that stands for all rows of a level
 NO_STRATUM = "\u0000"
 CELL = ["cid", "slicer", "level", "ref", "target"]
-DIRECT_ROWS = 200_000
+DIRECT_ROWS = 5_000
 
 
 @dataclass(frozen=True)
@@ -185,21 +185,23 @@ def _grid(problems: DataFrame, center: str, step: str, first: Sequence[Column])
     points = [F.struct(F.lit(i).alias("g"), d.alias("d")) for i, d in enumerate(first)]
     points += [F.struct(F.lit(n + j).alias("g"), (hi if j == 20 else F.lit(float(j)) * width + lo).alias("d")) for j in range(21)]
     return problems.withColumn("p", F.explode(F.array(*points))).select(
-        "cid", "part", F.col("p.g").alias("g"), F.col("p.d").alias("d"), F.lit(1.0).alias("r"))
+        "cid", "part", F.col("p.g").alias("g"), F.col("p.d").alias("d"), F.lit(1.0).alias("r"), (F.col("p.d") == 0).alias("exact"))
 
 
 class Refiner:
     """Distances of the candidates' samples (whole slice, or a fold) against their full references."""
 
-    def __init__(self, hist: DataFrame, members: DataFrame, samples: DataFrame, edges: Mapping[str, Sequence[float]], direct: bool) -> None:
-        self.hist, self.members, self.samples, self.edges, self.direct = hist, members, samples, edges, direct
+    def __init__(self, hist: DataFrame, members: DataFrame, samples: DataFrame, edges: Mapping[str, Sequence[float]], n_values: int, opt: SliceOptions) -> None:
+        self.hist, self.members, self.samples, self.edges = hist, members, samples, edges
+        self.direct, self.fine = n_values <= opt.direct_rows, fine_for(n_values)
 
     def distances(self, grid: DataFrame) -> DataFrame:
+        grid = cut(grid)  # a few rows per candidate, broadcast to the histograms
         members = grid.select("cid", "part").distinct().join(self.members, "cid")
         return ks_grid(self.samples, self.hist, members, grid, problem=["cid", "part"], base=["slicer", "level", "target"],
-                       edges=self.edges, edges_key="target", direct=self.direct)
+                       edges=self.edges, edges_key="target", direct=self.direct, fine=self.fine)
 
-    def refine(self, problems: DataFrame) -> DataFrame:
+    def refine(self, problems: DataFrame, any_whole: bool = True) -> DataFrame:
         """argmin over d of the distance, coarse then fine; problems: cid, part, d0, scale, whole.
 
         Returns the problems with ``ks0`` (no move), ``delta`` (snapped to whole
@@ -214,7 +216,9 @@ class Refiner:
         second = self.distances(_grid(p, "d1", "s2", [F.col("d1")]))
         best = second.groupBy("cid", "part").agg(F.min_by(F.struct("d", "ks"), F.struct("ks", "g")).alias("b"))
         p = cut(p.join(best, ["cid", "part"]).withColumn("d2", F.col("b.d")).withColumn("ks2", F.col("b.ks")).drop("b"))
-        snap = p.filter("whole").select("cid", "part", F.lit(0).alias("g"), F.rint("d2").alias("d"), F.lit(1.0).alias("r"))
+        if not any_whole:
+            return p.select(*problems.columns, "ks0", F.col("d2").alias("delta"), F.col("ks2").alias("ks_fit"))
+        snap = p.filter("whole").select("cid", "part", F.lit(0).alias("g"), F.rint("d2").alias("d"), F.lit(1.0).alias("r"), F.lit(True).alias("exact"))
         snapped = self.distances(snap).select("cid", "part", F.col("d").alias("di"), F.col("ks").alias("ks_i"))
         p = p.join(snapped, ["cid", "part"], "left")
         use = F.coalesce(F.col("ks_i") <= F.col("ks2") + 0.005, F.lit(False))
@@ -304,8 +308,8 @@ def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame
     for s, targets in pairs.items():
         part = long_rows(df, [s], targets, {}).filter("x is not null").groupBy("slicer", "level", "target", "x").agg(F.count(F.lit(1)).alias("n"))
         base = part if base is None else base.unionByName(part)
-    hist = cut(base)
-    direct = hist.count() <= opt.direct_rows
+    hist = cut(base, spread="x")
+    n_values = hist.count()
     members = cut(sizes_members)
     full = hist.join(cand.select("cid", "slicer", "level", "target"), ["slicer", "level", "target"]).select(
         "cid", F.lit("full").alias("part"), "target", "x", "n")
@@ -314,7 +318,7 @@ def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame
     aset = full
     crossfit = opt.acceptance == "crossfit"
     if crossfit:
-        samples = cut(draw_samples(df, cand, pairs, members, row_id, opt))
+        samples = cut(draw_samples(df, cand, pairs, members, row_id, opt), spread="key")
         folds = samples.filter("part <> 'R'")
         aset = full.unionByName(folds.groupBy("cid", "part", "target", "x").agg(F.count(F.lit(1)).alias("n")))
         # a fold holds at most fold_cap rows
@@ -322,7 +326,8 @@ def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame
         med = cut(med.select("cid", "part", (F.col("med_f") - F.col("med_b")).alias("d0"), "scale", is_int.alias("whole"),
                              F.when(F.col("med_b") != 0, F.col("med_f") / F.col("med_b")).alias("r")))
         problems = problems.unionByName(med.drop("r"))
-    fit = cut(Refiner(hist, members, aset, edges, direct).refine(problems))
+    aset = cut(aset, spread="x")
+    fit = cut(Refiner(hist, members, aset, edges, n_values, opt).refine(problems, any(whole[t] for ts in pairs.values() for t in ts)))
     main = fit.filter("part = 'full'").select("cid", "ks0", "delta", "ks_fit")
     t = cand.join(main, "cid").filter(F.col("stratified") | (F.col("ks0") >= 2 * F.col("floor")))
     if crossfit:
@@ -331,8 +336,8 @@ def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame
         # the noise floor is only drawn for the candidates it decides about
         open_ = t.filter(would_accept("ks_add") & is_steady() | would_accept("ks_mul"))
         return t.join(permutation_floor(samples, open_, opt), "cid", "left")
-    grid = cand.filter(F.col("ratio") > 0).select("cid", F.lit("full").alias("part"), F.lit(0).alias("g"), F.lit(0.0).alias("d"), F.col("ratio").alias("r"))
-    mul = Refiner(hist, members, full, edges, direct).distances(grid).select("cid", F.col("ks").alias("ks_m"))
+    grid = cand.filter(F.col("ratio") > 0).select("cid", F.lit("full").alias("part"), F.lit(0).alias("g"), F.lit(0.0).alias("d"), F.col("ratio").alias("r"), F.lit(True).alias("exact"))
+    mul = Refiner(hist, members, full, edges, n_values, opt).distances(grid).select("cid", F.col("ks").alias("ks_m"))
     return t.join(mul, "cid", "left").select(
         "*", F.col("ks_fit").alias("ks_add"), F.coalesce("ks_m", F.lit(1.0)).alias("ks_mul"), F.lit(None).cast("double").alias("tau")).drop("ks_m")
 
