@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabaudit.catalog import auditing, cleaning, corruption, slicing
+from tabaudit.catalog import auditing, cleaning, corruption, repairing, slicing
 from tabaudit.catalog.base import Query
 
-_PARTS = (cleaning, corruption, slicing, auditing)
+_PARTS = (cleaning, corruption, slicing, auditing, repairing)
 
 
 def all_queries() -> dict[str, Query]:
