@@ -44,10 +44,10 @@ def ks_direct(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str = "x", n:
     """Distance per key from two histograms (keys, x, n); for bounded groups."""
     keys = list(keys)
     zero = F.lit(0).cast("long")
-    both = a.select(*keys, F.col(x).alias("_v"), F.col(n).alias("_p"), zero.alias("_q")).unionByName(
-        b.select(*keys, F.col(x).alias("_v"), zero.alias("_p"), F.col(n).alias("_q"))
+    both = a.select(*keys, F.col(x).alias("_v"), F.col(n).alias("_wa"), zero.alias("_wz")).unionByName(
+        b.select(*keys, F.col(x).alias("_v"), zero.alias("_wa"), F.col(n).alias("_wz"))
     )
-    return ks_counts(both, keys, "_v", F.col("_p"), F.col("_q"))
+    return ks_counts(both, keys, "_v", F.col("_wa"), F.col("_wz"))
 
 
 def ks_grid(
