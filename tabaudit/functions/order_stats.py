@@ -145,7 +145,7 @@ def cumulative(hist: DataFrame, keys: Sequence[str], x: str, sums: Mapping[str,
     """Running totals of ``sums`` (column -> output) over ordered ``x`` per group.
 
     Totals per bucket are cumulated first (a short list per group), then each
-    (group, bucket) is cumulated on its own.
+    (group, bucket) is cumulated on its own. Rows with a null ``x`` are left out.
     """
     keys = list(keys)
     base = hist.withColumn("_b", bucket)

@@ -45,7 +45,7 @@ def test_bucket_never_decreases(spark):
 
 def test_cumulative_matches_a_window(spark, rows):
     _, df = rows
-    hist = df.filter(~F.isnan("x")).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
+    hist = df.filter("not isnan(x) and x is not null").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
     got = O.cumulative(hist, ["k"], "x", {"n": "c"}, O.bucket_of(F.col("x"), [0.0, 5.0, 20.0]))
     want = hist.withColumn("c", F.sum("n").over(Window.partitionBy("k").orderBy("x")))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
@@ -53,7 +53,7 @@ def test_cumulative_matches_a_window(spark, rows):
 
 def test_ordinal_of_hot_groups_matches_row_number(rows):
     _, df = rows
-    df = df.filter(~F.isnan("x")).withColumn("id", F.monotonically_increasing_id()).cache()
+    df = df.filter("not isnan(x) and x is not null").withColumn("id", F.monotonically_increasing_id()).cache()
     plain = O.ordinal_in_group(df, ["k"], ["x", "id"], "rn")
     split = O.ordinal_in_group(df, ["k"], ["x", "id"], "rn", hot_rows=200)
     assert split.exceptAll(plain).count() == 0
