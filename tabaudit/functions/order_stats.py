@@ -172,7 +172,8 @@ def ordinal_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], o
     if not keys:
         raise ValueError("a global order needs a row id column; align on it instead")
     hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    if not hot.take(1):
+    # a table no larger than the limit has no hot group; larger ones are counted per group
+    if df.count() <= hot_rows or not hot.take(1):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     flagged = df.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
     number = F.col(order[0])
