@@ -66,10 +66,11 @@ def tv_vs_rest(df: DataFrame, slicer: str, target: str) -> DataFrame:
         F.col(slicer).cast("string").alias("level"), F.col(target).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("level").agg(F.sum("n").alias("n_level"))
     totals = counts.groupBy("value").agg(F.sum("n").alias("n_value"))
-    all_ = F.sum("n_level").over(Window.partitionBy(F.lit(1)))
-    # every (level, value) pair, so that categories absent on one side count as zero
-    grid = sizes.withColumn("n_all", all_).withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    j = grid.join(counts, ["level", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    own = F.col("n") / F.col("n_level")
-    rest = (F.col("n_value") - F.col("n")) / (F.col("n_all") - F.col("n_level"))
-    return j.groupBy("level").agg((F.sum(F.abs(own - rest)) * 0.5).alias("tv"))
+    j = counts.join(sizes, "level").join(totals, "value")
+    n_all = F.sum("n_level").over(Window.partitionBy(F.lit(1)))
+    rest_size = sizes.withColumn("n_rest", n_all - F.col("n_level")).select("level", "n_rest")
+    j = j.join(rest_size, "level")
+    gap = F.abs(F.col("n") / F.col("n_level") - (F.col("n_value") - F.col("n")) / F.col("n_rest"))
+    # a value the level lacks differs by its whole share in the rest: rows of the rest minus those of shared values
+    absent = F.first("n_rest") - F.sum(F.col("n_value") - F.col("n"))
+    return j.groupBy("level").agg(((F.sum(gap) + absent / F.first("n_rest")) * 0.5).alias("tv"))
