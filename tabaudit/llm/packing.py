@@ -37,9 +37,9 @@ LENGTH, END_ID = 2048, 1
 #: Prices in tokens: a sequence, a cut at a sentence's end, a cut anywhere else.
 SEQUENCE, SENTENCE, INSIDE = 8, 8, 64
 #: Shortest sequence that goes unpadded before the stream's end; largest gap between allowed cuts.
-LEAST_POWER, GAP = 64, 256
+LEAST_POWER, GAP = 512, 256
 #: Tokens of a chunk, words looked up at once, words kept in the cache.
-CHUNK, LOOKUP, CACHE = 1 << 20, 300_000, 600_000
+CHUNK, LOOKUP, CACHE = 1 << 20, 300_000, 900_000
 
 
 class WordIds:
@@ -52,6 +52,8 @@ class WordIds:
         self.limit = limit
         bar = self.encode("|")
         self.bar = bar[0] if len(bar) == 1 else None
+        # where case does not count, words that differ by it share an entry
+        self.fold = bytes.lower if self.encode("QUICK Fox") == self.encode("quick fox") else bytes
         vocab = self.tok.get_vocab()
         self.sentence = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.sentence[[i for s, i in vocab.items() if s.removesuffix("</w>").endswith((".", "!", "?"))]] = True
@@ -65,13 +67,13 @@ class WordIds:
     def encode(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _add(self, words: list[bytes], ids: list[np.ndarray]) -> None:
-        n, lens = len(self.at), np.fromiter(map(len, ids), np.int64, len(ids))
+    def _add(self, words: list[bytes], lens: np.ndarray, new: np.ndarray) -> None:
+        """Words, how many ids each has, and their ids end to end."""
+        n = len(self.at)
         while n + len(words) > len(self.starts):
             self.starts, self.lens = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.lens, self.lens * 0])
         self.starts[n : n + len(words)] = self.used + np.cumsum(lens) - lens
         self.lens[n : n + len(words)] = lens
-        new = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
         self.flat[self.used : self.used + len(new)] = new
@@ -84,19 +86,18 @@ class WordIds:
         for k in range(0, len(plain), 20_000):
             part = plain[k : k + 20_000]
             ids = np.array(self.encode(b" | ".join(part).decode() + " |"), dtype=np.int32)
-            cuts = np.flatnonzero(ids == self.bar)
-            if len(cuts) == len(part):
-                self._add(part, [x[(j > 0) :] for j, x in enumerate(np.split(ids, cuts)[:-1])])
-            else:
-                self._add(part, [np.array(self.encode(w.decode()), np.int32) for w in part])
-        rest = [w for w in words if w not in self.at]
-        self._add(rest, [np.array(self.encode(w.decode()), np.int32) for w in rest])
+            bars = np.flatnonzero(ids == self.bar)
+            if len(bars) == len(part):
+                self._add(part, np.diff(bars, prepend=-1) - 1, ids[ids != self.bar])
+        if rest := [w for w in words if w not in self.at]:
+            ids = [self.encode(w.decode()) for w in rest]
+            self._add(rest, np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.int32))
 
     def documents(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, each closed by ``end``; and the number of each text's ids."""
         if len(self.at) > self.limit:
             self.clear()
-        split = [t.split() for t in texts]
+        split = [self.fold(t).split() for t in texts]
         words = [w for s in split for w in s]
         at = self.at
         if new := [w for w in dict.fromkeys(words) if w not in at]:

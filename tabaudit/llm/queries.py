@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import chat, exact, mixing, packing, quality, urls
+from tabaudit.llm import chat, exact, lines, mixing, packing, quality, urls
 from tabaudit.llm.native import table
 from tabaudit.llm.twins import TWINS
 
@@ -41,6 +41,12 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_chat(rows.unionByName(extra), words), words)
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = lines.judge_lines(table(spark, folder, "documents"))
+    gone = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed_lines"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sized = mixing.cut(mixing.with_size(table(spark, folder, "documents")).select("doc_id", "source", "size"))
     out = mixing.apply_plan(sized, mixing.plan(sized))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,

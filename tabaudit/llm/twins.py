@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import chat, mixing, quality
+from tabaudit.llm import chat, lines, mixing, quality
 
 WORD = "'[^\\x20\\x09-\\x0D]+'"
 RUN = "'[\\x20\\x09-\\x0D]+'"
@@ -45,6 +45,26 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from c group by conv_id"""
 
 
+def lines_sql(docs: str) -> str:
+    """doc_id, n_lines, n_removed, removed_lines. Lines within one edit share their first or last words up to
+    half of the shorter; such pairs are formed and compared by their common beginning and end."""
+    return f"""
+with ln as materialized (select doc_id, pos - 1 as pos, trim(regexp_replace(l, {RUN}, ' ', 'g')) as l
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from {docs})),
+di as materialized (select l, min({{'d': doc_id, 'p': pos}}) as o, string_split(l, ' ') as w from ln where l <> '' group by l),
+lg as (select *, len(w) as n from di where len(w) >= {lines.MIN_WORDS}),
+hv as (select distinct o, w, n, m, side, case when side = 0 then w[1:m] else w[n - m + 1:n] end as h
+       from (select *, unnest([n // 2, (n - 1) // 2]) as m from lg), (values (0), (1)) s(side)),
+pr as (select distinct a.o as o, a.w as w, b.w as v from hv a join hv b on a.m = b.m and a.side = b.side and a.h = b.h and b.o < a.o and abs(a.n - b.n) <= 1),
+pf as (select o, greatest(len(w), len(v)) as big,
+        coalesce(list_position(list_transform(range(1, greatest(len(w), len(v)) + 1), lambda i: w[i] is distinct from v[i]), true), greatest(len(w), len(v)) + 1) - 1 as p,
+        coalesce(list_position(list_transform(range(1, greatest(len(w), len(v)) + 1), lambda i: list_reverse(w)[i] is distinct from list_reverse(v)[i]), true), greatest(len(w), len(v)) + 1) - 1 as s from pr),
+gone as (select distinct o from pf where p + s >= big - 1),
+st as (select o from di where o not in (select o from gone)),
+v as (select doc_id, pos, l = '' or {{'d': doc_id, 'p': pos}} in (select o from st) as stays from ln)
+select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_removed, coalesce(string_agg(pos, ',' order by pos) filter (not stays), '') as removed_lines from v group by doc_id"""
+
+
 def _mixing() -> str:
     w = ", ".join(map(str, mixing.WEIGHTS))
     return f"""
@@ -110,6 +130,7 @@ TWINS = {
     "op1_url_filters": _urls(RULES),
     "op2_exact_dedup": EXACT,
     "op5_chat_formatting": _chat("\\### Assistant: </turn> ok"),
+    "op6_line_dedup": lines_sql("documents"),
     "op7_mixing": _mixing(),
     "op9_quality_rules": _quality(),
 }
