@@ -31,6 +31,17 @@ select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from t window w as (partition by text_sha256)"""
 
 
+SUBSTRING = f"""
+with d as (select doc_id, row_number() over (order by doc_id nulls first) as k, regexp_extract_all(coalesce(text, ''), {WORD}) as w from documents),
+win as (select k, i, md5(array_to_string(w[i:i + 19], ' ')) as h from (select k, w, unnest(range(1, len(w) - 18)) as i from d)),
+rep as (select k, i from (select k, i, row_number() over (partition by h order by k, i) as r from win) where r > 1),
+gone as (select distinct k, j from (select k, unnest(range(i, i + 20)) as j from rep)),
+g as (select k, list(j) as js, count(*) as n from gone group by k),
+kept as (select k, string_agg(x, ' ' order by j) as t from (select k, unnest(w) as x, generate_subscripts(w, 1) as j from d) left join gone using (k, j)
+         where gone.k is null group by k)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(g.n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join g using (k) left join kept using (k)"""
+
+
 def _chat(tricky: str) -> str:
     esc = "|".join(["\\\\", *chat.CONTROLS])
     escaped = lambda c: f"length(regexp_replace({c}, '({esc})', '\\\\\\1', 'g'))"
@@ -129,6 +140,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 TWINS = {
     "op1_url_filters": _urls(RULES),
     "op2_exact_dedup": EXACT,
+    "op4_substring_dedup": SUBSTRING,
     "op5_chat_formatting": _chat("\\### Assistant: </turn> ok"),
     "op6_line_dedup": lines_sql("documents"),
     "op7_mixing": _mixing(),
