@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import chat, exact, jaccard, lines, mixing, packing, quality, substring, urls
+from tabaudit.llm import chat, exact, jaccard, lines, mixing, packing, quality, substring, suffix_tree, urls
 from tabaudit.llm.native import table
 from tabaudit.llm.twins import TWINS
 
@@ -24,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score(table(spark, folder, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     digest = lambda df: df.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
     return substring.remove_repeats(table(spark, folder, "documents"), then=digest)
@@ -75,6 +79,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
