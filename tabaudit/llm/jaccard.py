@@ -35,7 +35,7 @@ from tabaudit.llm.hashing import mix, window_hashes, window_starts, word_hashes
 
 WORDS, TREES, DEPTH = 5, 16, 6
 #: Similarity as a fraction (at least 4/5), and the share of pairs at it that must meet.
-NEAR, RECALL = (4, 5), 0.9995
+NEAR, RECALL = (4, 5), 0.9999
 #: Members of a block; texts hashed at once (bytes).
 BLOCK, GROUP_BYTES = 256, 4_000_000
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, (TREES, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -237,5 +237,5 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id (equal rows with that id count as one)."""
-    c = jaccard_classes(docs, doc_id, text).filter(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(c, docs[doc_id] == F.col("_gone"), "left_anti").dropDuplicates([doc_id, text])
+    c = jaccard_classes(docs, doc_id, text).filter(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("__gone")).distinct()
+    return docs.join(c, docs[doc_id] == F.col("__gone"), "left_anti").dropDuplicates([doc_id, text])

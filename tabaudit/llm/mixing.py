@@ -85,15 +85,15 @@ def plan(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", seed:
 
 def apply_plan(sized: DataFrame, of: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
     """Rows with source_size, target, repetitions (whole and seeded extra) and taken words."""
-    p = of.select(F.col("source").alias("_s"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("floor").alias("_floor"), F.col("cut").alias("_cut"))
+    p = of.select(F.col("source").alias("__s"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("floor").alias("__floor"), F.col("cut").alias("__cut"))
     base = sized.drop(*[c for c in OUT if c != "size"])
     u, i = draw(doc_id, seed), F.col(doc_id)
-    cut_id = F.col("_cut.id")
-    upto = (u < F.col("_cut.u")) | ((u == F.col("_cut.u")) & (i.isNull() | (cut_id.isNotNull() & (i <= cut_id))))
-    extra = F.coalesce(F.substring(u, 1, BUCKET_HEX) < F.col("_floor"), F.lit(False)) | F.coalesce(upto, F.lit(False))
-    both = base.join(p, F.col(source).eqNullSafe(F.col("_s")), "left")
-    reps = F.col("_whole") + extra.cast("int")
-    return both.select(*base.columns, F.col("_size").alias("source_size"), F.col("_target").alias("target"), reps.alias("repetitions"), (F.col("size") * reps).alias("taken"))
+    cut_id = F.col("__cut.id")
+    upto = (u < F.col("__cut.u")) | ((u == F.col("__cut.u")) & (i.isNull() | (cut_id.isNotNull() & (i <= cut_id))))
+    extra = F.coalesce(F.substring(u, 1, BUCKET_HEX) < F.col("__floor"), F.lit(False)) | F.coalesce(upto, F.lit(False))
+    both = base.join(p, F.col(source).eqNullSafe(F.col("__s")), "left")
+    reps = F.col("__whole") + extra.cast("int")
+    return both.select(*base.columns, F.col("__size").alias("source_size"), F.col("__target").alias("target"), reps.alias("repetitions"), (F.col("size") * reps).alias("taken"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
@@ -105,4 +105,4 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def repeated(docs: DataFrame, **columns) -> DataFrame:
     """The mixed corpus itself: each document as many times as the mix takes it, in the input's columns."""
     out = mix(docs, **columns).filter("repetitions > 0")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("repetitions")))).select(*docs.columns)
+    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("repetitions")))).select(*docs.columns)

@@ -72,8 +72,8 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     of_lines = let(lines, lambda a: F.struct(F.size(a).cast("long").alias("n_lines"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines")))
     symbols = (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long")
     kept = docs.drop(*SIGNALS)
-    wide = kept.select("*", of_words.alias("_w"), of_lines.alias("_l"), symbols.alias("n_symbols"))
-    return wide.select(*kept.columns, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines")
+    wide = kept.select("*", of_words.alias("__w"), of_lines.alias("__l"), symbols.alias("n_symbols"))
+    return wide.select(*kept.columns, "__w.n_words", "__w.word_chars", "n_symbols", "__l.n_dup_lines", "__w.n_repeat_words", "__l.n_lines")
 
 
 def base_failed() -> Column:
@@ -91,8 +91,8 @@ VOTES = {
 
 
 def with_votes(signals: DataFrame) -> DataFrame:
-    """Adds ``vote_<rule>``: 1 good, -1 bad, 0 abstains."""
-    return signals.withColumns({f"vote_{r}": F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for r, (bad, good) in VOTES.items()})
+    """Adds ``__vote_<rule>``: 1 good, -1 bad, 0 abstains."""
+    return signals.withColumns({f"__vote_{r}": F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for r, (bad, good) in VOTES.items()})
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ class VoteModel:
         """Log odds of *good*, from the vote columns."""
         out = F.lit(math.log(self.prior / (1 - self.prior)))
         for r in RULES:
-            s, f, v = self.sensitivity[r], self.alarm[r], F.col(f"vote_{r}")
+            s, f, v = self.sensitivity[r], self.alarm[r], F.col(f"__vote_{r}")
             out = out + F.when(v == -1, math.log(f / s)).when(v == 1, math.log((1 - f) / (1 - s))).otherwise(0.0)
         return out
 
@@ -118,7 +118,7 @@ def _within(x: float, bounds: tuple[float, float]) -> float:
 
 def fit_votes(votes: DataFrame) -> VoteModel:
     """EM over the counts of vote patterns: at most 3^5 = 243 rows, whatever the input."""
-    cols = [f"vote_{r}" for r in RULES]
+    cols = [f"__vote_{r}" for r in RULES]
     patterns = [(tuple(x[c] for c in cols), x["n"]) for x in votes.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).orderBy(*cols).collect()]
     prior, sens, alarm = START["prior"], [START["sensitivity"]] * len(RULES), [START["alarm"]] * len(RULES)
     rows = sum(n for _, n in patterns)
@@ -143,7 +143,7 @@ def judge(signals: DataFrame) -> DataFrame:
     votes = with_votes(signals)
     z = fit_votes(votes).log_odds()
     scored = votes.withColumns({"base_failed": base_failed(), "p_good": 1 / (1 + F.exp(-z))})
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)).drop(*[f"vote_{r}" for r in RULES])
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)).drop(*[f"__vote_{r}" for r in RULES])
 
 
 def quality(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -87,6 +87,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     wide = wide.select("host", "path", _key(F.col("e.suffix"), F.col("e.dir")).alias("digest"))
     near = wide.withColumn("prefix", F.substring("digest", 1, PREFIX_HEX)).join(stored.select("prefix").distinct(), "prefix", "left_semi")
     hits = near.drop("prefix").join(stored.select("digest", "r_path", "rank"), "digest").filter(F.startswith(F.col("path"), F.col("r_path")))
-    best = hits.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max("rank").alias("best"))
-    out = parts.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return out.select(*parts.columns, F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"))
+    best = hits.groupBy(F.col("host").alias("__h"), F.col("path").alias("__p")).agg(F.max("rank").alias("__best"))
+    out = parts.join(best, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
+    return out.select(*parts.columns, F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.action"), F.lit(default)).alias("verdict"))
