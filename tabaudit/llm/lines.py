@@ -13,8 +13,8 @@ key, and no pairs are formed inside a group, however large. What a key settles i
 verified by words before a line is dropped.
 
 Two lines within one edit share their first or their last half. Lines that share no half
-with another are left out of the neighbourhood step; that loses nothing and spares most
-of the variants.
+with another are left out of the neighbourhood step, and beside a shared half only the
+words of the other half are deleted; that loses nothing and spares most of the variants.
 
 Edge cases: a null text is one empty line; rows equal in id and text count as one row and
 get the same verdict; null ids come first; a very long line has a variant per word like
@@ -35,13 +35,8 @@ MIN_WORDS = 5
 
 
 def _lines(text: Column) -> Column:
-    """Array of the lines, each with single spaces and none at its ends."""
-    even = F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")
-    return F.split(F.regexp_replace(even, " ?\\n ?", "\n"), "\n", -1)
-
-
-def _trim(line: Column) -> Column:
-    return F.trim(line)
+    """Array of the lines, with single spaces; one may stand at either end."""
+    return F.split(F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " "), "\n", -1)
 
 
 def _n_words(line: Column) -> Column:
@@ -62,17 +57,17 @@ def _identity(line: Column) -> tuple[Column, Column]:
 
 
 def _halves(line: Column, n: Column) -> Column:
-    """Keys one of which any line within one edit shares: the first and last m words, m half of the shorter line's."""
-    m = (F.floor(n / 2), F.floor((n - 1) / 2))
-    keys = [F.xxhash64(F.lit(s), x, f(line, x)) for x in m for s, f in ((0, _first), (1, _last))]
-    return F.when(n < MIN_WORDS, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.array(*keys)))
+    """(key, m, side), one of which any line within one edit shares: the first (side 0) or last (1) m words, m half of the shorter line's."""
+    m = (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int"))
+    keys = [F.struct(F.xxhash64(F.lit(s), x, f(line, x)).alias("k"), x.alias("m"), F.lit(s).alias("side")) for x in m for s, f in ((0, _first), (1, _last))]
+    return F.when(n < MIN_WORDS, F.array().cast("array<struct<k:bigint,m:int,side:int>>")).otherwise(F.array_distinct(F.array(*keys)))
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line: id, th (hash of the text), pos, l1 and l2 (null without words), halves."""
     t = text_of(text)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("th"), F.posexplode(_lines(t)).alias("pos", "raw"))
-    rows = rows.withColumn("line", _trim(F.col("raw")))
+    rows = rows.withColumn("line", F.trim(F.col("raw")))
     line, full = F.col("line"), F.col("line") != ""
     l1, l2 = _identity(line)
     return rows.select("id", "th", "pos", F.when(full, l1).alias("l1"), F.when(full, l2).alias("l2"), F.when(full, _halves(line, _n_words(line))).alias("halves"))
@@ -82,16 +77,21 @@ def _order(*cols: str) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def _variants(line: Column) -> Column:
-    """(i, key) of the line itself (i = 0) and of the line without its i-th word."""
-    n = _n_words(line)
+def _variants(line: Column, half: Column) -> Column:
+    """(i, key) of the words beside a shared half, whole (i = 0) and without their i-th; the key holds the half too."""
+    rest = F.when(half["side"] == 0, _last(line, _n_words(line) - half["m"])).otherwise(_first(line, _n_words(line) - half["m"]))
+
+    def of(r: Column) -> Column:
+        n = _n_words(r)
+
+        def without(i: Column) -> Column:
+            head, tail = _first(r, i - 1), _last(r, n - i)
+            left = F.when(i == 0, r).when(i == 1, tail).when(i == n, head).otherwise(F.concat(head, F.lit(" "), tail))
+            return F.struct(i.alias("i"), F.xxhash64(half["k"], left).alias("key"))
 
-    def without(i: Column) -> Column:
-        head, tail = _first(line, i - 1), _last(line, n - i)
-        rest = F.when(i == 1, tail).when(i == n, head).otherwise(F.concat(head, F.lit(" "), tail))
-        return F.struct(i.alias("i"), F.xxhash64(F.lit(3), F.when(i == 0, line).otherwise(rest)).alias("key"))
+        return F.transform(F.sequence(F.lit(0), n), without)
 
-    return F.transform(F.sequence(F.lit(0), n), without)
+    return let(rest, of)
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -110,15 +110,16 @@ def near_dropped(docs: DataFrame, first: DataFrame, doc_id: str = "doc_id", text
 
     ``first``: distinct lines as id, th, pos of their first occurrence, and halves.
     """
-    half = first.select("id", "th", "pos", F.explode("halves").alias("k"))
-    shared = half.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
-    wanted = half.join(shared, "k", "left_semi").groupBy(F.col("id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_set("pos").alias("at"))
+    half = first.select("id", "th", "pos", F.explode("halves").alias("h"))
+    shared = half.groupBy(F.col("h.k").alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    wanted = half.join(shared, F.col("h.k") == F.col("k"), "left_semi").groupBy(F.col("id").alias("w_id"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
     t = text_of(text)
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("th"), t.alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
-    lines = let(_lines(F.col("text")), lambda a: F.transform(F.col("at"), lambda p: F.struct(p.alias("pos"), F.trim(F.get(a, p)).alias("line"))))
+    lines = let(_lines(F.col("text")), lambda a: F.transform(F.col("at"), lambda p: F.struct(p["pos"].alias("pos"), p["h"].alias("h"), F.trim(F.get(a, p["pos"])).alias("line"))))
     # rows equal in id and text are one row here
-    near = cut(texts.select("id", "th", F.explode(lines).alias("x")).select("id", "th", F.col("x.pos").alias("pos"), F.col("x.line").alias("line")).dropDuplicates(["id", "th", "pos"]))
-    rows = near.select(_order("id", "th", "pos").alias("o"), F.explode(_variants(F.col("line"))).alias("v")).select("o", F.col("v.i").alias("i"), F.col("v.key").alias("key"))
+    met = cut(texts.select("id", "th", F.explode(lines).alias("x")).select("id", "th", "x.*").dropDuplicates(["id", "th", "pos", "h"]))
+    near = met.select("id", "th", "pos", "line").dropDuplicates(["id", "th", "pos"])
+    rows = cut(met.select(_order("id", "th", "pos").alias("o"), F.explode(_variants(F.col("line"), F.col("h"))).alias("v")).select("o", F.col("v.i").alias("i"), F.col("v.key").alias("key")))
     # a key's line itself, and the earliest line that it is a variant of
     keys = rows.groupBy("key").agg(F.min(F.when(F.col("i") == 0, F.col("o"))).alias("itself"), F.min(F.when(F.col("i") > 0, F.col("o"))).alias("longer"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = cut(rows.join(keys.drop("n"), "key"))
@@ -150,10 +151,10 @@ def judge_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines that stay, and with n_lines and n_removed."""
-    verdict = judge_lines(docs, doc_id, text).dropDuplicates(["id", "th"]).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("n_lines").alias("_n"), F.col("kept").alias("_kept"))
+    verdict = judge_lines(docs, doc_id, text).dropDuplicates(["id", "th"]).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("n_lines").alias("__n"), F.col("kept").alias("__kept"))
     base = docs.drop("n_lines", "n_removed")
     t = text_of(text)
-    both = base.withColumn("_h", F.xxhash64(t)).join(verdict, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    raw = let(F.split(t, "\n", -1), lambda a: F.array_join(F.transform(F.col("_kept"), lambda p: F.get(a, p)), "\n"))
+    both = base.withColumn("__h", F.xxhash64(t)).join(verdict, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")))
+    raw = let(F.split(t, "\n", -1), lambda a: F.array_join(F.transform(F.col("__kept"), lambda p: F.get(a, p)), "\n"))
     carried = [raw.alias(text) if c == text else F.col(c) for c in base.columns]
-    return both.select(*carried, F.col("_n").alias("n_lines"), (F.col("_n") - F.size("_kept")).alias("n_removed"))
+    return both.select(*carried, F.col("__n").alias("n_lines"), (F.col("__n") - F.size("__kept")).alias("n_removed"))
