@@ -100,8 +100,8 @@ class WordIds:
         split = [self.fold(t).split() for t in texts]
         words = [w for s in split for w in s]
         at = self.at
-        if new := [w for w in dict.fromkeys(words) if w not in at]:
-            self.learn(new)
+        if new := set(words).difference(at):
+            self.learn(list(new))
         idx = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
         lens = self.lens[idx]
         upto = np.concatenate([[0], np.cumsum(lens)])
