@@ -244,19 +244,15 @@ select 'rough_series' as kind, entity as level, target, 'REVIEW' as confidence,
 
 # -- post-processing of real findings -------------------------------------------------
 
-_raw: dict[tuple, DataFrame] = {}
 # acceptance is a noisy test even for a true shift; with this salt both directions of the pair pass it
 MIRROR_SALT = "m1"
 
 
 def raw_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    """Raw findings of two pairwise audits; derived once per session, several queries post-process them."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _raw:
-        a = S.numeric_raw(raised_high(spark, d), ["o_orderpriority"], ["o_totalprice"], row_id=["o_orderkey"], strata={})
-        b = S.numeric_raw(raised_status(spark, d), ["l_linestatus"], ["l_quantity"], row_id=["rid"], strata={"l_linestatus": "ship_year"}, opt=S.SliceOptions(salt=MIRROR_SALT))
-        _raw[key] = cut(a.unionByName(b))
-    return _raw[key]
+    """Raw findings of two pairwise audits."""
+    a = S.numeric_raw(raised_high(spark, d), ["o_orderpriority"], ["o_totalprice"], row_id=["o_orderkey"], strata={})
+    b = S.numeric_raw(raised_status(spark, d), ["l_linestatus"], ["l_quantity"], row_id=["rid"], strata={"l_linestatus": "ship_year"}, opt=S.SliceOptions(salt=MIRROR_SALT))
+    return cut(a.unionByName(b))
 
 
 def _raw_sql() -> str:

@@ -8,6 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from tabaudit.config import AuditConfig
@@ -78,7 +79,10 @@ def encode_features(df: DataFrame, cfg: AuditConfig, levels: Mapping[str, Sequen
     Numbers are filled with this frame's own medians, then 0; categories become
     0/1 columns for the given levels and OTHER.
     """
-    label = F.coalesce(as_number(F.col(cfg.target).cast("string")), F.lit(0.0)).cast("int").alias("label")
+    target = F.col(cfg.target)
+    if isinstance(df.schema[cfg.target].dataType, BooleanType):
+        target = target.cast("int")
+    label = F.coalesce(as_number(target.cast("string")), F.lit(0.0)).cast("int").alias("label")
     numbers = [c for c in cfg.numeric_features if c in df.columns]
     medians = column_medians(df, numbers)
     view = feature_view(df.withColumn("label", label), cfg.numeric_features, cfg.categorical_features, keep=["label"])

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from tabaudit.functions.order_stats import bucket_of, cumulative, value_edges
 from tabaudit.functions.predicates import as_number, slice_pred, window_pred
 from tabaudit.functions.rng import key_text, uniform
-from tabaudit.sources.clean import TOKEN_PATTERN, TOKEN_SUFFIX, derive_tokens
+from tabaudit.sources.clean import TOKEN_PATTERN, TOKEN_SUFFIX, token
 
 REVIEW_ONLY = ("flag_entity", "flag_fd")
 MAX_GAP, MAX_CARRY = 8, 3
@@ -184,14 +184,16 @@ def apply_all(df: DataFrame, findings: Sequence[Row], keys: Sequence[str], confi
     columns = df.columns
     helpers = {c[: -len(TOKEN_SUFFIX)] for f in chosen for c in (f["slicer"], f["context"]) if c and c.endswith(TOKEN_SUFFIX) and c not in columns}
     if helpers:
-        df, _ = derive_tokens(df, sorted(helpers))
+        # the findings name them: whether a column qualifies was asked by the audit
+        df = df.withColumns({f"{c}{TOKEN_SUFFIX}": token(c) for c in sorted(helpers)})
     for f in chosen:
         df = apply_repair(df, f, keys, seed)
     return df.select(*columns)
 
 
 def _quoted(c: Column) -> Column:
-    return F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    plain = F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\"))
+    return F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
 
 
 def _name(c: Column) -> Column:
