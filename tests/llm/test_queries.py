@@ -4,8 +4,9 @@ import pytest
 from oracle import compare, duck
 from pyspark.sql import functions as F
 
-from tabaudit.llm import lines, mixing, suffix_tree
+from tabaudit.llm import mixing, suffix_tree
 from tabaudit.llm.queries import all_queries, all_sql, vocabulary
+from tabaudit.llm.twins import lines_sql
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -67,7 +68,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if k == 0:
             assert ids == sorted(r[0] for r in con.sql(f"select doc_id from ({all_sql()['op9_quality_rules']}) where kept").fetchall())
         if k == 1:
-            gone = {r[0]: {int(x) for x in r[1].split(",") if x} for r in con.sql(f"select doc_id, removed_lines from ({lines.__name__ and _lines_sql()})").fetchall()}
+            gone = {r[0]: {int(x) for x in r[1].split(",") if x} for r in con.sql(f"select doc_id, removed_lines from ({lines_sql("documents")})").fetchall()}
             want = {}
             for d, t in before.select("doc_id", "text").collect():
                 left = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
@@ -88,12 +89,6 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             brute.check_pieces([r.asDict() for r in now.collect()], texts, Tokenizer.from_file(vocabulary("word_bpe_49k.json")))
 
 
-def _lines_sql():
-    from tabaudit.llm.twins import lines_sql
-
-    return lines_sql("documents")
-
-
 def test_mix_hits_its_targets(spark):
     out = mixing.mix(spark.read.parquet(f"{FOLDER}/documents.parquet"))
     for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("want"), F.max("size").alias("most"), F.max("repetitions").alias("n")).collect():
