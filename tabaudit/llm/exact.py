@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.lineage import cut
 from tabaudit.llm.native import SPACE_RUN, text_of
+from tabaudit.llm.skew import join_hot
 
 #: Slots per hash; bits per expected row; bound of the filter's bits (16 MB a layer).
 SLOTS, BITS_A_ROW, MAX_BITS = 4, 16, 1 << 27
@@ -114,8 +115,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     probed = cut(possibly_repeated(hashed, "sha", max_bits))
     alone = probed.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     # equal rows are counted first, so that neither a hot text nor a repeated row meets in one task
-    rows = probed.filter("maybe").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
-    groups = rows.groupBy(F.col("sha").alias("s")).agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    both = rows.join(groups, F.col("sha") == F.col("s")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = cut(probed.filter("maybe").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n")))
+    groups = cut(rows.groupBy(F.col("sha").alias("s")).agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("ids")))
+    both = join_hot(rows, groups, "sha", "s", "ids", rows.count()).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     shared = both.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "sha")
     return alone.unionByName(shared).select(F.col("id").alias(doc_id), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.lineage import cut
+from tabaudit.llm.skew import join_hot
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,8 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        low = cut(both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m"), F.count(F.lit(1)).alias("degree")))
+        # a node may be the smallest around for a large share of all nodes
+        larger = join_hot(both.filter("v > u"), low, "u", "c", "degree", 2 * e.count())
+        large = larger.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.filter("m < c").select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
         low2 = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = large.join(low2, F.col("u") == F.col("c")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
