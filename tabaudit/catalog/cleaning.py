@@ -178,7 +178,7 @@ LINE_CFG = AuditConfig(name="lineitem", target="l_late", row_id=("rid",))
 def rank_slicers(spark: SparkSession, d: str) -> DataFrame:
     li, _ = line_slicers(spark, d)
     li = li.withColumn("l_qty_group", (F.col("l_quantity") % 3).cast("int")).withColumn("is_big", (F.col("l_quantity") > 25).cast("int"))
-    return P.ranked_slicers(P.infer_roles(li, LINE_CFG), cap=6)
+    return P.ranked_slicers(P.infer_roles(li, LINE_CFG))
 
 
 cat.add("q_rank_slicers", rank_slicers, f"""
@@ -188,12 +188,12 @@ with d as ({' union all '.join(f"select '{c}' as c, {i} as pos, count(distinct {
 s as (select *, case when c in ('ship_year', 'l_qty_group') then 3 else 0 end
         + case when d between 3 and 15 then 2 when d = 2 then 1 else 0 end as score from d),
 r as (select *, row_number() over (order by score desc, d, pos) as rk from s)
-select c as "column", cast(score as int) as score, d as n_distinct, cast(rk as int) as rank from r where rk <= 6""")
+select c as "column", cast(score as int) as score, d as n_distinct, cast(rk as int) as rank from r""")
 
 
 def best_stratifier(spark: SparkSession, d: str) -> DataFrame:
     li, distinct = line_slicers(spark, d)
-    return P.best_stratifiers(li, P.rank_slicers(distinct, list(distinct)), distinct)
+    return P.best_stratifiers(li, P.rank_slicers(spark, distinct, list(distinct)), distinct)
 
 
 def _best_strat_sql() -> str:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabaudit.functions.lineage import cut
+
 COARSE = 16
 FINE = 256
 
@@ -117,7 +119,8 @@ def group_quantiles(
         _, r0, r1 = ranks(q)
         lo, hi = F.col("_hi") - F.col("_c"), F.col("_hi")
         wanted = wanted | holds(r0, lo, hi) | holds(r1, lo, hi)
-    need = counts.filter(wanted).select(*group, "_b", (F.col("_hi") - F.col("_c")).alias("_lo"), "_tot")
+    # written, so that its size is known and it filters the rows in the scan instead of shuffling them
+    need = cut(counts.filter(wanted).select(*group, "_b", (F.col("_hi") - F.col("_c")).alias("_lo"), "_tot"))
 
     if members is not None:
         inside = base.join(need.join(members, group), [*keys, "_b"])
@@ -165,22 +168,21 @@ def ordinal_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], o
     """``row_number`` per group (from 1) that splits the groups above ``hot_rows``.
 
     Small groups are numbered by a plain window. The rows of a hot group are
-    range-split on the first order column and numbered per range, offset by the
-    sizes of the ranges before it.
+    range-split on the first order column (a text by its first six bytes) and
+    numbered per range, offset by the sizes of the ranges before it.
     """
     keys, order = list(keys), list(order)
     if not keys:
         raise ValueError("a global order needs a row id column; align on it instead")
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    # a table no larger than the limit has no hot group; larger ones are counted per group
-    if df.count() <= hot_rows or not hot.take(1):
+    hot = cut(df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys))
+    if not hot.take(1):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     flagged = df.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
     number = F.col(order[0])
     if dict(df.dtypes)[order[0]] in ("timestamp", "date", "timestamp_ntz"):
         number = F.unix_micros(number.cast("timestamp"))
     elif dict(df.dtypes)[order[0]] == "string":
-        raise ValueError(f"hot groups need a numeric or time first order column, not {order[0]}")
+        number = F.conv(F.rpad(F.hex(F.substring(number.cast("binary"), 1, 6)), 12, "0"), 16, 10)
     flagged = flagged.withColumn("_num", number.cast("double"))
     edges = value_edges(flagged.filter("_hot"), ["_num"])["_num"]
     flagged = flagged.withColumn("_b", F.when(F.col("_hot"), F.coalesce(bucket_of(F.col("_num"), edges), F.lit(-1))).otherwise(F.lit(0)))

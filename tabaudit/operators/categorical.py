@@ -19,7 +19,6 @@ MIN_ROW = 20
 PURE, MIXED = 0.97, 0.90
 MINORITY = 0.60
 MIN_CONTEXT_ROWS = 30
-CONTEXTS = 6
 NULL_LEVEL = "\u0000"
 PLACE = ["context", "context_level", "slicer", "target"]
 
@@ -66,10 +65,10 @@ def detect_fd_violation(df: DataFrame, slicers: Sequence[str], targets: Sequence
 def overwritten_cells(df: DataFrame, slicers: Sequence[str], targets: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Cells where exactly one level holds one value while its siblings are mixed."""
     if counts is None:
-        counts = cut(_cells(df, [None, *slicers[:CONTEXTS]], slicers, targets))
+        counts = cut(_cells(df, [None, *slicers], slicers, targets))
     sizes = df.select(F.explode(F.array(
         F.struct(F.lit("").alias("context"), F.lit("").alias("context_level")),
-        *[F.struct(F.lit(c).alias("context"), F.col(c).cast("string").alias("context_level")) for c in slicers[:CONTEXTS]])).alias("e")
+        *[F.struct(F.lit(c).alias("context"), F.col(c).cast("string").alias("context_level")) for c in slicers])).alias("e")
     ).select("e.*").groupBy("context", "context_level").count().filter((F.col("context") == "") | (F.col("count") >= 2 * MIN_N)).drop("count")
     purity = cut(_purity(counts))
     fd = _dependencies(purity).select("slicer", "target")
@@ -110,7 +109,7 @@ def detect_overwrite(df: DataFrame, slicers: Sequence[str], targets: Sequence[st
 
 def categorical_audit(df: DataFrame, slicers: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """Dependencies and overwrites from one count table."""
-    counts = cut(_cells(df, [None, *slicers[:CONTEXTS]], slicers, targets))
+    counts = cut(_cells(df, [None, *slicers], slicers, targets))
     return detect_fd_violation(df, slicers, targets, counts).unionByName(detect_overwrite(df, slicers, targets, counts))
 
 

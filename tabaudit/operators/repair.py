@@ -20,6 +20,7 @@ from tabaudit.functions.rng import key_text, uniform
 from tabaudit.sources.clean import TOKEN_PATTERN, TOKEN_SUFFIX, token
 
 REVIEW_ONLY = ("flag_entity", "flag_fd")
+YEAR_REPAIR = "interpolate_year"
 MAX_GAP, MAX_CARRY = 8, 3
 DOMINANT = 0.75
 BLOCKS = 1024
@@ -159,7 +160,7 @@ def apply_repair(df: DataFrame, f: Row, keys: Sequence[str], seed: int = 0) -> D
     salt = f"{seed}|{f['kind']}|{f['slicer']}|{f['level']}|{t}"
     if kind in REVIEW_ONLY:
         return df
-    if kind == "interpolate_year":
+    if kind == YEAR_REPAIR:
         return repair_interpolate(df, t, r["entity_col"], r["time_col"], [r["year"]], r["all_years"] or [r["year"]])
     if kind in ("divide_window", "divide_window_multi"):
         rows = window_pred(r["entity_col"], r["entity"], r["time_col"], r["start"], r["end"])
@@ -178,6 +179,10 @@ def apply_repair(df: DataFrame, f: Row, keys: Sequence[str], seed: int = 0) -> D
     raise ValueError(f"unknown repair {kind}")
 
 
+def _series(f: Row) -> tuple:
+    return f["target"], f["repair"]["entity_col"], f["repair"]["time_col"]
+
+
 def apply_all(df: DataFrame, findings: Sequence[Row], keys: Sequence[str], confidences: Sequence[str] = ("REPAIR",), seed: int = 0) -> DataFrame:
     """Apply the repairs of the findings in order; helper columns are added and dropped again."""
     chosen = [f for f in findings if f["repair"] is not None and f["confidence"] in confidences]
@@ -186,8 +191,17 @@ def apply_all(df: DataFrame, findings: Sequence[Row], keys: Sequence[str], confi
     if helpers:
         # the findings name them: whether a column qualifies was asked by the audit
         df = df.withColumns({f"{c}{TOKEN_SUFFIX}": token(c) for c in sorted(helpers)})
+    years: dict[tuple, list[Row]] = {}
+    for f in chosen:
+        if f["repair"]["type"] == YEAR_REPAIR:
+            years.setdefault(_series(f), []).append(f)
     for f in chosen:
-        df = apply_repair(df, f, keys, seed)
+        if f["repair"]["type"] != YEAR_REPAIR:
+            df = apply_repair(df, f, keys, seed)
+        elif same := years.pop(_series(f), None):  # all bad years of a column in one pass
+            fix = sorted({x["repair"]["year"] for x in same})
+            bad = sorted({y for x in same for y in x["repair"]["all_years"] or [x["repair"]["year"]]})
+            df = repair_interpolate(df, f["target"], f["repair"]["entity_col"], f["repair"]["time_col"], fix, bad)
     return df.select(*columns)
 
 

@@ -22,6 +22,11 @@ class AuditResult:
     roles: P.Roles
     slicers: list[str]
 
+    @property
+    def report(self) -> DataFrame:
+        """The short view: every REPAIR and the best REVIEW findings."""
+        return FD.cap_reviews(self.findings)
+
 
 def panel_findings(df: DataFrame, cfg: AuditConfig, numerics: list[str]) -> DataFrame:
     ent, t = cfg.entity_col, cfg.time_col
@@ -32,10 +37,10 @@ def panel_findings(df: DataFrame, cfg: AuditConfig, numerics: list[str]) -> Data
 
 
 def audit(df: DataFrame, cfg: AuditConfig, *, opt: SliceOptions = SliceOptions(), approx: bool = False) -> AuditResult:
-    """Ranked findings of one table: every REPAIR and the best eight REVIEW findings."""
+    """All findings of one table, ranked; ``report`` of the result is the short view."""
     work, roles = P.roles_of(df, cfg, approx)
-    slicers = P.rank_slicers(roles.distinct, roles.slicers)
-    strata = {r["slicer"]: r["stratifier"] for r in P.best_stratifiers(work, slicers, roles.distinct).collect()}  # at most 12 rows
+    slicers = P.rank_slicers(df.sparkSession, roles.distinct, roles.slicers)
+    strata = {r["slicer"]: r["stratifier"] for r in P.best_stratifiers(work, slicers, roles.distinct).collect()}  # one row a slicer
     parts = []
     numerics = [c for c in roles.numerics if c not in slicers]
     if slicers and numerics:
@@ -54,4 +59,4 @@ def audit(df: DataFrame, cfg: AuditConfig, *, opt: SliceOptions = SliceOptions()
         return AuditResult(FD.empty(df.sparkSession).withColumn("rank", F.lit(0)), roles, slicers)
     raw = cut(FD.union(parts))
     ranked = FD.rank_findings(FD.postprocess(raw), cfg.features)
-    return AuditResult(cut(FD.cap_reviews(ranked)), roles, slicers)
+    return AuditResult(cut(ranked), roles, slicers)

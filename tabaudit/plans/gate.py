@@ -82,7 +82,7 @@ def gated_repair(dirty: DataFrame, held_out: DataFrame, cfg: AuditConfig, *, rul
     current, kept_all = dirty, []
     confidences = ("REPAIR", "REVIEW") if reviews and rule == "strict" else ("REPAIR",)
     for _ in range(rounds if rule == "strict" else 1):
-        found = audit(current, cfg, opt=opt).findings.orderBy("rank").collect()  # the capped report
+        found = audit(current, cfg, opt=opt).report.orderBy("rank").collect()
         cands = [f for f in found if f["repair"] is not None and f["confidence"] in confidences and f["repair"]["type"] not in REVIEW_ONLY]
         if rule == "strict":
             cands.sort(key=lambda f: 0 if f["target"].split(",")[0] in cfg.features else 1)
@@ -91,7 +91,8 @@ def gated_repair(dirty: DataFrame, held_out: DataFrame, cfg: AuditConfig, *, rul
             mirror = _mirror(f)
             if rule == "strict" and mirror in done:
                 continue
-            trial = apply_all(current, [f], cfg.row_id, confidences, seed)
+            # written once: scoring reads it several times
+            trial = cut(apply_all(current, [f], cfg.row_id, confidences, seed))
             score = ev.submit(trial, f"v{len(ev.history)}", f)
             if rule == "no_worse":
                 ok = score >= best
@@ -99,7 +100,7 @@ def gated_repair(dirty: DataFrame, held_out: DataFrame, cfg: AuditConfig, *, rul
                 ok = score > best + 1e-6 if tol <= 0 else score >= best - tol
             if ok:
                 ev.accept()
-                current = cut(trial)
+                current = trial
                 best = max(best, score) if rule == "strict" else score
                 kept.append(f)
                 if mirror:

@@ -73,3 +73,10 @@ def test_uniform_depends_on_key_and_salt_only(spark):
     assert again.exceptAll(df).count() == 0
     m = df.agg(F.avg("u").alias("m"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.corr("u", "v").alias("c")).first()
     assert abs(m["m"] - 0.5) < 0.02 and m["lo"] >= 0 and m["hi"] < 1 and abs(m["c"]) < 0.05
+
+
+def test_hot_group_in_text_order(spark):
+    df = spark.range(2000).select(F.lit("k").alias("k"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("x"))
+    split = O.ordinal_in_group(df, ["k"], ["x"], "rn", hot_rows=100).orderBy("rn").collect()
+    assert [r["rn"] for r in split] == list(range(1, 2001))
+    assert [r["x"] for r in split] == sorted(f"n{i}" for i in range(2000))

@@ -125,7 +125,7 @@ def test_roles(spark):
     got = {r["column"]: r["role"] for r in P.infer_roles(df, cfg).collect()}
     assert got == {"id": "id", "flag": "binary", "forty": "numeric_categorical", "many": "numeric", "name": "id", "cat": "categorical", "txt": "text",
                    "y": "target", "arr": "unsupported"}
-    assert P.rank_slicers({"a": 2, "year": 7, "b": 4, "c": 30}, ["a", "year", "b", "c"]) == ["year", "b", "a", "c"]
+    assert P.rank_slicers(spark, {"a": 2, "year": 7, "b": 4, "c": 30}, ["a", "year", "b", "c"]) == ["year", "b", "a", "c"]
 
 
 def test_numbers_and_sentinels(spark):
