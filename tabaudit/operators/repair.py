@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabaudit.functions.order_stats import bucket_of, cumulative, value_edges
+from tabaudit.functions.lineage import cut
+from tabaudit.functions.order_stats import bucket_of, cumulative, ordinal_in_group, value_edges
 from tabaudit.functions.predicates import as_number, slice_pred, window_pred
 from tabaudit.functions.rng import key_text, uniform
 from tabaudit.sources.clean import TOKEN_PATTERN, TOKEN_SUFFIX, token
@@ -23,8 +24,7 @@ REVIEW_ONLY = ("flag_entity", "flag_fd")
 YEAR_REPAIR = "interpolate_year"
 MAX_GAP, MAX_CARRY = 8, 3
 DOMINANT = 0.75
-BLOCKS = 1024
-MAX_CATEGORIES = 10_000
+BLOCK_ROWS = 200_000
 
 
 def _number(target: str) -> Column:
@@ -50,35 +50,47 @@ def repair_window(df: DataFrame, targets: Sequence[str], rows: Column, time: str
     return df.withColumns({t: F.when(rows, _number(t) / by).otherwise(_number(t)) for t in targets})
 
 
+def _with_draws(hit: DataFrame, spans: DataFrame, n: int, hits: int, u: Column) -> DataFrame:
+    """``hit`` with ``_draw``: the value ``_v`` of the span ``lo`` <= rank < ``hi`` that holds the rank floor(u * n).
+
+    Ranks are looked up by merging draws and spans inside blocks of equal rank range,
+    about BLOCK_ROWS rows of both in each, so neither side is gathered or paired with
+    the whole other side.
+    """
+    cols = hit.columns
+    size = max(1, n // -(-(n + hits) // BLOCK_ROWS))
+    blocks = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
+    left = blocks.select(
+        *[F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in cols], "_block",
+        F.greatest(F.col("lo"), F.col("_block") * size).alias("_r"), F.lit(0).alias("_kind"), "_v")
+    r = F.least(F.floor(u * n), F.lit(n - 1))
+    right = hit.withColumn("_r", r).select(
+        *cols, F.floor(F.col("_r") / size).alias("_block"), "_r", F.lit(1).alias("_kind"), F.lit(None).cast(spans.schema["_v"].dataType).alias("_v"))
+    w = Window.partitionBy("_block").orderBy("_r", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = left.unionByName(right).withColumn("_draw", F.last("_v", ignorenulls=True).over(w))
+    return drawn.filter("_kind = 1").select(*cols, "_draw")
+
+
 def repair_from_reference(df: DataFrame, target: str, rows: Column, keys: Sequence[str], salt: str = "reference") -> DataFrame:
     """Replace a slice by random draws from the values of all other rows (null if there are none).
 
-    A draw is a rank in the sorted reference. Ranks are looked up by merging draws
-    and value intervals inside blocks of equal rank range, so neither side is
-    gathered or paired with the whole other side.
+    A draw is a rank in the sorted reference.
     """
     x = _number(target)
     df = df.withColumn(target, x)
     hit = df.filter(rows)
     rest = df.filter(~rows)
     ref = rest.filter(F.col(target).isNotNull()).select(F.col(target).alias("x"))
-    n = ref.count()
+    sizes = df.agg(F.count_if(~rows & F.col(target).isNotNull()).alias("n"), F.count_if(rows).alias("hits")).first()
+    n = sizes["n"]
     if n == 0:
         return df.withColumn(target, F.when(~rows, F.col(target)))
     edges = value_edges(ref, ["x"])["x"]
     hist = ref.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("_g", F.lit(0))
-    ranked = cumulative(hist, ["_g"], "x", {"n": "hi"}, bucket_of(F.col("x"), edges)).withColumn("lo", F.col("hi") - F.col("n"))
-    size = max(1, -(-n // BLOCKS))
-    blocks = ranked.withColumn("_block", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))))
-    cols = df.columns
-    left = blocks.select(
-        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols], "_block",
-        F.greatest(F.col("lo"), F.col("_block") * size).alias("_r"), F.lit(0).alias("_kind"), F.col("x").alias("_v"))
-    r = F.least(F.floor(uniform(key_text(keys), salt) * n), F.lit(n - 1))
-    right = hit.withColumn("_r", r).select(*cols, F.floor(F.col("_r") / size).alias("_block"), "_r", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_v"))
-    w = Window.partitionBy("_block").orderBy("_r", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = left.unionByName(right).withColumn("_draw", F.last("_v", ignorenulls=True).over(w)).filter("_kind = 1")
-    return rest.unionByName(drawn.withColumn(target, F.col("_draw")).select(*cols))
+    ranked = cumulative(hist, ["_g"], "x", {"n": "hi"}, bucket_of(F.col("x"), edges))
+    spans = ranked.select((F.col("hi") - F.col("n")).alias("lo"), "hi", F.col("x").alias("_v"))
+    drawn = _with_draws(hit, spans, n, sizes["hits"], uniform(key_text(keys), salt))
+    return rest.unionByName(drawn.withColumn(target, F.col("_draw")).select(*df.columns))
 
 
 def _ladder(u: Column, steps: Sequence[tuple[Any, Any]]) -> Column:
@@ -90,23 +102,32 @@ def _ladder(u: Column, steps: Sequence[tuple[Any, Any]]) -> Column:
     return last if out is None else out.otherwise(last)
 
 
+def _category_spans(values: DataFrame, target: str) -> DataFrame:
+    """Ranks of each category, the frequent ones first, equally frequent ones by value: lo, hi, _v.
+
+    Categories of one frequency have equal spans, so a category's place is the end of the
+    more frequent ones plus its number among its equals. The window without a partition
+    sees one row per distinct frequency, at most the square root of twice the rows.
+    """
+    mix = cut(values.groupBy(F.col(target).alias("_v")).agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("all").over(Window.orderBy(F.desc("n")))
+    before = mix.groupBy("n").agg(F.sum("n").alias("all")).select("n", (upto - F.col("all")).alias("before"))
+    placed = ordinal_in_group(mix, ["n"], ["_v"], "k").join(before, "n")
+    lo = F.col("before") + (F.col("k") - 1) * F.col("n")
+    return placed.select(lo.alias("lo"), (lo + F.col("n")).alias("hi"), "_v")
+
+
 def repair_recategorise(df: DataFrame, target: str, slicer: str, level: Any, keys: Sequence[str], context: str | None = None,
                         context_level: Any = None, salt: str = "category") -> DataFrame:
     """Replace a slice by draws from the category mix of the other levels in the same context."""
     rows = slice_pred(slicer, level, context, context_level)
     inside = slice_pred(context, context_level) if context is not None else F.lit(True)
-    ref = df.filter(inside & ~slice_pred(slicer, level) & F.col(target).isNotNull())
-    mix = ref.groupBy(target).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), target).limit(MAX_CATEGORIES + 1).collect()
-    if len(mix) > MAX_CATEGORIES:
-        raise ValueError(f"{target} has more than {MAX_CATEGORIES} categories; it is no categorical column")
-    if not mix:
+    is_ref = inside & ~slice_pred(slicer, level) & F.col(target).isNotNull()
+    sizes = df.agg(F.count_if(is_ref).alias("n"), F.count_if(rows).alias("hits")).first()
+    if not sizes["n"]:
         return df
-    total, steps, run = sum(m["n"] for m in mix), [], 0
-    for m in mix:
-        run += m["n"]
-        steps.append((m[target], run))
-    draw = F.floor(uniform(key_text(keys), salt) * F.lit(total))
-    return df.withColumn(target, F.when(rows, _ladder(draw, steps)).otherwise(F.col(target)))
+    drawn = _with_draws(df.filter(rows), _category_spans(df.filter(is_ref), target), sizes["n"], sizes["hits"], uniform(key_text(keys), salt))
+    return df.filter(~F.coalesce(rows, F.lit(False))).unionByName(drawn.withColumn(target, F.col("_draw")).select(*df.columns))
 
 
 def repair_missing(df: DataFrame, target: str, rows: Column, dist: Mapping[str, float], keys: Sequence[str], salt: str = "missing") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def gated_repair(dirty: DataFrame, held_out: DataFrame, cfg: AuditConfig, *, rul
     ``strict`` keeps a repair that improves the score (or, with ``tol``, does not
     lower it by more), skips the mirror of a kept one and audits again after each
     round. ``no_worse`` takes the REPAIR findings of one audit in report order and
-    keeps what does not lower the score.
+    keeps what does not lower the score; a repair that cannot be planned is passed over.
     """
     ev = Evaluator(held_out, cfg)
     best = ev.submit(dirty, "v0")
@@ -92,7 +93,12 @@ def gated_repair(dirty: DataFrame, held_out: DataFrame, cfg: AuditConfig, *, rul
             if rule == "strict" and mirror in done:
                 continue
             # written once: scoring reads it several times
-            trial = cut(apply_all(current, [f], cfg.row_id, confidences, seed))
+            try:
+                trial = cut(apply_all(current, [f], cfg.row_id, confidences, seed))
+            except (AnalysisException, ValueError):
+                if rule != "no_worse":
+                    raise
+                continue  # this repair does not fit the table
             score = ev.submit(trial, f"v{len(ev.history)}", f)
             if rule == "no_worse":
                 ok = score >= best
