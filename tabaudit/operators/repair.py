@@ -8,6 +8,8 @@ same value.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -17,7 +19,7 @@ from pyspark.sql.window import Window
 from tabaudit.functions.lineage import cut
 from tabaudit.functions.order_stats import bucket_of, cumulative, ordinal_in_group, value_edges
 from tabaudit.functions.predicates import as_number, slice_pred, window_pred
-from tabaudit.functions.rng import key_text, uniform
+from tabaudit.functions.rng import HEX_DIGITS, SCALE, key_text, uniform
 from tabaudit.sources.clean import TOKEN_PATTERN, TOKEN_SUFFIX, token
 
 REVIEW_ONLY = ("flag_entity", "flag_fd")
@@ -135,7 +137,7 @@ def repair_missing(df: DataFrame, target: str, rows: Column, dist: Mapping[str,
     if not dist:
         return df
     items = sorted(dist.items(), key=lambda kv: (-kv[1], kv[0]))
-    total = sum(dist.values())
+    total = reduce(add, dist.values(), 0.0)  # added up in map order, as the SQL text does
     if items[0][1] / total >= DOMINANT:
         value = F.lit(items[0][0])
     else:
@@ -235,11 +237,34 @@ def _name(c: Column) -> Column:
     return F.concat(F.lit("`"), c, F.lit("`"))
 
 
-def with_repair_sql(findings: DataFrame) -> DataFrame:
+def _fill_text(r: Column, keys: Sequence[str], seed: int) -> Column:
+    """SQL of the value that fills a hole: the dominant category, else a draw from ``dist`` by row identity."""
+    shares = r["dist"]
+    total = F.aggregate(F.map_values(shares), F.lit(0.0), lambda a, v: a + v)
+    items = F.array_sort(F.map_entries(shares), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(
+        a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    top, last = F.get(items, F.lit(0)), F.get(items, F.size(items) - 1)
+    if not keys:
+        return F.when(top["value"] / total >= DOMINANT, _quoted(top["key"]))
+    salt = F.concat(F.lit(f"{seed}|"), F.concat_ws("|", "kind", "slicer", "level", "target"))
+    identity = ", ".join(f"cast(`{k}` as string)" for k in keys)
+    u = F.concat(F.lit(f"cast(conv(substring(md5(concat(concat_ws('-', {identity}), '-', "), _quoted(salt), F.lit(f")), 1, {HEX_DIGITS}), 16, 10) as double) / {SCALE!r}D"))
+    start = F.struct(F.lit(0.0).alias("run"), F.lit("case").alias("sql"))
+
+    def step(a: Column, e: Column) -> Column:
+        run = a["run"] + e["value"] / total
+        return F.struct(run.alias("run"), F.concat(a["sql"], F.lit(" when "), u, F.lit(" < "), run.cast("string"), F.lit("D then "), _quoted(e["key"])).alias("sql"))
+
+    drawn = F.aggregate(F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))), start, step, lambda a: F.concat(a["sql"], F.lit(" else "), _quoted(last["key"]), F.lit(" end")))
+    return F.when(top["value"] / total >= DOMINANT, _quoted(top["key"])).otherwise(drawn)
+
+
+def with_repair_sql(findings: DataFrame, keys: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Add ``repair_sql``: the repaired target as a Spark SQL expression.
 
-    Repairs that draw or interpolate need other rows; they name the operator that
-    does it. Helper token columns are written out as expressions.
+    Fills that draw from a mix of categories need the row id ``keys`` (and the ``seed``
+    given to the executor). Repairs that need other rows, and draws without keys, name
+    the operator that does it. Helper token columns are written out as expressions.
     """
     r = F.col("repair")
     t = _name(F.col("target"))
@@ -261,13 +286,14 @@ def with_repair_sql(findings: DataFrame) -> DataFrame:
                       F.lit(" between "), text(r["start"]), F.lit(" and "), text(r["end"]))
     by = F.when(r["per_year"].isNotNull(), F.concat(F.lit("pow("), text(r["per_year"]), F.lit("D, "), _name(r["time_col"]), F.lit(" - "), text(r["start"]), F.lit(" + 1)"))
                 ).otherwise(F.concat(text(r["factor"]), F.lit("D")))
-    top = F.element_at(F.array_sort(F.map_entries(r["dist"]), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).otherwise(0)), 1)
+    fill = _fill_text(r, keys, seed)
     multi = F.array_join(F.transform(r["targets"], lambda c: F.concat(
         F.lit("case when "), window, F.lit(" then `"), c, F.lit("` / "), by, F.lit(" else `"), c, F.lit("` end as `"), c, F.lit("`"))), ", ")
     sql = (
         F.when(r["type"] == "subtract", case(where, F.concat(num, F.lit(" - "), text(r["value"]), F.lit("D")), num))
         .when(r["type"] == "divide", case(where, F.concat(num, F.lit(" / "), text(r["value"]), F.lit("D")), num))
-        .when(r["type"] == "impute_missing", case(F.concat(where, F.lit(" and "), t, F.lit(" is null")), _quoted(top["key"]), t))
+        .when(r["type"] == "impute_missing", F.coalesce(
+            case(F.concat(where, F.lit(" and "), t, F.lit(" is null")), fill, t), F.concat(F.lit("-- draw from the mix for nulls where "), where)))
         .when(r["type"] == "divide_window", case(window, F.concat(num, F.lit(" / "), by), num))
         .when(r["type"] == "divide_window_multi", multi)
         .when(r["type"].isin("reimpute_categorical", "impute_from_reference"), F.concat(F.lit("-- draw from the other rows where not ("), where, F.lit(")")))

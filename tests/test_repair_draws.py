@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tabaudit.functions.rng import key_text, uniform
+from tabaudit.operators import findings as FD
 from tabaudit.operators import repair as R
 
 
@@ -34,3 +35,19 @@ def test_reference_draws_do_not_depend_on_the_blocks(spark, monkeypatch):
     whole = draw()
     monkeypatch.setattr(R, "BLOCK_ROWS", 100)
     assert draw() == whole
+
+
+def test_fill_text_draws_what_the_executor_draws(spark):
+    mix = {"it's": 0.4, "b\\c": 0.35, "d": 0.25}
+    dist = F.create_map(*[F.lit(x) for kv in mix.items() for x in kv])
+    found = FD.to_findings(spark.range(1), kind="mnar_missingness", slicer="s", level="bad", target="cat", n=1, confidence="REPAIR",
+                           repair={"type": "impute_missing", "dist": dist})
+    f = found.withColumn("rank", F.lit(1))
+    df = spark.range(400).select("id", (F.col("id") % 7).alias("k2"), F.when(F.col("id") % 2 == 0, "bad").otherwise("ok").alias("s"),
+                                 F.when(F.col("id") % 3 == 0, "kept").alias("cat"))
+    keys = ["id", "k2"]
+    done = R.apply_all(df, f.collect(), keys, seed=5)
+    text = R.with_repair_sql(f, keys, seed=5).first()["repair_sql"]
+    assert sorted(map(str, done.collect())) == sorted(map(str, df.withColumn("cat", F.expr(text)).collect()))
+    assert {r["cat"] for r in done.filter("s = 'bad'").collect()} == {*mix, "kept"}
+    assert R.with_repair_sql(f).first()["repair_sql"].startswith("-- draw")
