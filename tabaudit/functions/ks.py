@@ -50,6 +50,28 @@ def ks_direct(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str = "x", n:
     return ks_counts(both, keys, "_v", F.col("_wa"), F.col("_wz"))
 
 
+def ks_split(rows: DataFrame, keys: Sequence[str], x: str, bucket: Column, a: Column, z: Column) -> DataFrame:
+    """``ks_counts`` for groups of any size: distances are bounded per value bucket, and only buckets that can hold the maximum are read by value."""
+    keys = list(keys)
+    rows = rows.select(*keys, bucket.alias("_b"), F.col(x).alias("_x"), a.alias("_a"), z.alias("_z"))
+    w = Window.partitionBy(*keys)
+    run = w.orderBy("_b")
+    counts = rows.groupBy(*keys, "_b").agg(F.sum("_a").alias("_a"), F.sum("_z").alias("_z")).select(
+        *keys, "_b", "_a", "_z", F.sum("_a").over(run).alias("_ca"), F.sum("_z").over(run).alias("_cz"), F.sum("_a").over(w).alias("_na"), F.sum("_z").over(w).alias("_nz"))
+    fa, fz = F.col("_ca") / F.col("_na"), F.col("_cz") / F.col("_nz")
+    fa0, fz0 = (F.col("_ca") - F.col("_a")) / F.col("_na"), (F.col("_cz") - F.col("_z")) / F.col("_nz")
+    small = (F.col("_na") < MIN_SIDE) | (F.col("_nz") < MIN_SIDE)
+    counts = counts.withColumn("_at", F.when(small, F.lit(0.0)).otherwise(F.abs(fa - fz))).withColumn("_cap", F.when(small, F.lit(0.0)).otherwise(F.greatest(fa - fz0, fz - fa0)))
+    counts = cut(counts.withColumn("_known", F.max("_at").over(w)))
+    open_ = cut(counts.filter(F.col("_cap") > F.col("_known")).select(
+        *keys, "_b", (F.col("_ca") - F.col("_a")).alias("_ca0"), (F.col("_cz") - F.col("_z")).alias("_cz0"), "_na", "_nz"))
+    fixed = [*keys, "_b", "_ca0", "_cz0", "_na", "_nz"]
+    steps = rows.join(open_, [*keys, "_b"]).groupBy(*fixed, "_x").agg(F.sum("_a").alias("_a"), F.sum("_z").alias("_z"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("_x")
+    gap = F.abs((F.col("_ca0") + F.sum("_a").over(inner)) / F.col("_na") - (F.col("_cz0") + F.sum("_z").over(inner)) / F.col("_nz"))
+    return steps.select(*keys, gap.alias("_at")).unionByName(counts.select(*keys, "_at")).groupBy(*keys).agg(F.max("_at").alias("ks"))
+
+
 def ks_grid(
     a: DataFrame,
     b: DataFrame,

@@ -7,8 +7,8 @@ Stages, each one pass over the table or less:
 2. cheap detection on those small tables; only the candidates go on;
 3. value histograms of the candidates, on which the offset is refined by a
    two-step grid of exact Kolmogorov-Smirnov distances;
-4. cross-fitted residuals and a permutation noise floor on bounded samples,
-   drawn by row hash, that decide acceptance.
+4. cross-fitted residuals and a permutation noise floor over all rows, split by
+   row hash, that decide acceptance.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabaudit.functions.ks import ks_counts, ks_direct, ks_floor, ks_grid
+from tabaudit.functions.ks import ks_counts, ks_floor, ks_grid, ks_split
 from tabaudit.functions.lineage import cut
-from tabaudit.functions.order_stats import fine_for, group_quantiles, value_edges
+from tabaudit.functions.order_stats import bucket_by, fine_for, group_quantiles, value_edges
 from tabaudit.functions.predicates import as_number, is_whole
 from tabaudit.functions.rng import key_text, uniform
 from tabaudit.operators import findings as FD
@@ -35,15 +35,20 @@ REST = "*"  # the stratum that stands for all rows of a level
 NO_STRATUM = "\u0000"
 CELL = ["cid", "slicer", "level", "ref", "target"]
 DIRECT_ROWS = 5_000
+HASH_BITS = 8  # hash buckets by which a rank is located
 
 
 @dataclass(frozen=True)
 class SliceOptions:
-    """Limits of the acceptance test; the defaults are the semantics."""
+    """Options of the acceptance test, which is decided on all rows.
+
+    ``fold_cap`` and ``ref_cap`` bound the rows of a fold and of the reference;
+    with them the test is an approximation.
+    """
 
     acceptance: str = "crossfit"  # or "asymptotic", the earlier rule
-    fold_cap: int = 2000
-    ref_cap: int = 4000
+    fold_cap: int | None = None
+    ref_cap: int | None = None
     draws: int = 200
     direct_rows: int = DIRECT_ROWS  # histograms up to this size skip the bounding step
     salt: str = ""
@@ -226,76 +231,125 @@ class Refiner:
             "ks_fit", F.when(use, F.col("ks_i")).otherwise(F.col("ks2"))).drop("s1", "s2", "d1", "d2", "ks2", "di", "ks_i")
 
 
-def draw_samples(df: DataFrame, cand: DataFrame, pairs: Mapping[str, Sequence[str]], members: DataFrame, row_id: Sequence[str], opt: SliceOptions) -> DataFrame:
-    """Two folds (A, B) of each candidate slice and a sample (R) of its reference: (cid, part, key, x).
-
-    Draws are the rows with the smallest hashes. A hash threshold slightly above
-    the wanted share filters in the scan, so that a sample of a few thousand rows
-    is all that is shuffled and ranked, however large the slice is.
-    """
+def _value_rows(df: DataFrame, pairs: Mapping[str, Sequence[str]], row_id: Sequence[str]) -> DataFrame:
     rows = None
     for s, targets in pairs.items():
         part = long_rows(df, [s], targets, {}, [key_text(row_id).alias("key")]).filter("x is not null").drop("stratum")
         rows = part if rows is None else rows.unionByName(part)
-    c = cand.select("cid", "slicer", "level", "target", "n_a", "n_b")
-    salt = F.concat(F.col("cid"), F.lit(opt.salt))
-    own = rows.join(c, ["slicer", "level", "target"]).withColumn("u", uniform(F.col("key"), salt))
-    cap_a = F.least(F.floor(F.col("n_a") / 2), F.lit(opt.fold_cap))
-    own = own.withColumn("part", F.when(F.col("u") < 0.5, "A").otherwise("B")).withColumn("cap", cap_a)
-    own = own.withColumn("v", F.when(F.col("u") < 0.5, F.col("u")).otherwise(F.col("u") - 0.5))
-    own = own.withColumn("n", F.col("n_a"))
-    ref = rows.join(members, ["slicer", "level", "target"]).join(c.select("cid", "n_b"), "cid")
-    ref = ref.withColumn("v", uniform(F.col("key"), F.concat(salt, F.lit("|ref")))).withColumn("part", F.lit("R")).withColumn(
-        "cap", F.least(F.col("n_b"), F.lit(opt.ref_cap))).withColumn("n", F.col("n_b"))
-    cols = ["cid", "part", "target", "key", "x", "v", "cap", "n"]
-    both = own.select(*cols).unionByName(ref.select(*cols))
-    # the k smallest of n hashes lie below (k + 12 sqrt(k) + 60) / n for all practical purposes
-    near = both.filter(F.col("v") * F.col("n") <= F.col("cap") + 12 * F.sqrt("cap") + 60)
+    return rows
+
+
+def _smallest(rows: DataFrame) -> DataFrame:
+    """The ``cap`` rows with the smallest ``v`` of each (cid, part); only the buckets of v up to that rank are shuffled."""
+    rows = rows.withColumn("_b", F.floor(F.col("v") * 4096))
+    counts = rows.groupBy("cid", "part", "cap", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("cid", "part").orderBy("_b")) - F.col("_c")
+    edge = cut(counts.withColumn("_lo", before).filter(F.col("_lo") < F.col("cap")).groupBy("cid", "part").agg(F.max("_b").alias("_edge")))
+    near = rows.join(edge, ["cid", "part"]).filter(F.col("_b") <= F.col("_edge"))
     rank = F.row_number().over(Window.partitionBy("cid", "part").orderBy("v", "key"))
-    return near.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("cap")).select("cid", "part", "target", "key", "x")
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("cap"))
+
+
+def fold_rows(df: DataFrame, cand: DataFrame, pairs: Mapping[str, Sequence[str]], row_id: Sequence[str], opt: SliceOptions) -> DataFrame:
+    """Two folds (A, B) of each candidate slice: (cid, part, target, key, x). All its rows, unless ``fold_cap`` is given."""
+    c = cand.select("cid", "slicer", "level", "target", "n_a")
+    own = _value_rows(df, pairs, row_id).join(c, ["slicer", "level", "target"]).withColumn("u", uniform(F.col("key"), F.concat(F.col("cid"), F.lit(opt.salt))))
+    own = own.withColumn("part", F.when(F.col("u") < 0.5, "A").otherwise("B"))
+    if opt.fold_cap is not None:
+        own = own.withColumn("v", F.when(F.col("u") < 0.5, F.col("u")).otherwise(F.col("u") - 0.5))
+        own = _smallest(own.withColumn("cap", F.least(F.floor(F.col("n_a") / 2), F.lit(opt.fold_cap))))
+    return own.select("cid", "part", "target", "key", "x")
+
+
+def reference_rows(df: DataFrame, cand: DataFrame, pairs: Mapping[str, Sequence[str]], members: DataFrame, row_id: Sequence[str], opt: SliceOptions) -> DataFrame:
+    """Reference of each candidate: (cid, target, key, x). All its rows, unless ``ref_cap`` is given."""
+    ref = _value_rows(df, pairs, row_id).join(members, ["slicer", "level", "target"]).join(cand.select("cid", "n_b"), "cid")
+    if opt.ref_cap is not None:
+        ref = ref.withColumn("v", uniform(F.col("key"), F.concat("cid", F.lit(opt.salt), F.lit("|ref")))).withColumn("part", F.lit("R"))
+        ref = _smallest(ref.withColumn("cap", F.least(F.col("n_b"), F.lit(opt.ref_cap))))
+    return ref.select("cid", "target", "key", "x")
+
 
+def _split_size(opt: SliceOptions) -> Column:
+    """Rows in each of the two parts of a permutation draw: those of a fold, at most half the reference."""
+    fold, ref = F.floor(F.col("n_a") / 2), F.col("n_b")
+    fold = fold if opt.fold_cap is None else F.least(fold, F.lit(opt.fold_cap))
+    ref = ref if opt.ref_cap is None else F.least(ref, F.lit(opt.ref_cap))
+    return F.least(fold, F.floor(ref / 2))
 
-def permutation_floor(samples: DataFrame, cand: DataFrame, opt: SliceOptions) -> DataFrame:
-    """95th percentile of the distance between two random disjoint parts of the reference sample: (cid, tau).
+
+def _tau(c: DataFrame, d: DataFrame) -> DataFrame:
+    tau = d.groupBy("cid").agg(F.percentile("ks", F.lit(0.95)).alias("tau"))
+    return c.join(tau, "cid", "left").select("cid", F.coalesce("tau", F.lit(0.05)).alias("tau"))
+
+
+def sampled_permutation_floor(reference: DataFrame, cand: DataFrame, opt: SliceOptions) -> DataFrame:
+    """95th percentile of the distance between two random disjoint parts of a bounded reference: (cid, tau).
 
     At most ``draws`` x ``ref_cap`` rows per candidate, in parallel by (cid, draw).
     """
-    r = samples.filter("part = 'R'")
-    m = F.least(F.least(F.floor(F.col("n_a") / 2), F.lit(opt.fold_cap)), F.floor(F.least(F.col("n_b"), F.lit(opt.ref_cap)) / 2))
-    c = cand.select("cid", m.alias("m"))
-    drawn = r.join(c.filter("m >= 10"), "cid").select("cid", "m", "x", "key", F.explode(F.sequence(F.lit(0), F.lit(opt.draws - 1))).alias("draw"))
+    c = cand.select("cid", _split_size(opt).alias("m"))
+    drawn = reference.join(c.filter("m >= 10"), "cid").select("cid", "m", "x", "key", F.explode(F.sequence(F.lit(0), F.lit(opt.draws - 1))).alias("draw"))
     # one explicit exchange: hashing, ranking and counting all run on the (cid, draw) partitions
-    tasks = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = drawn.repartition(tasks, "cid", "draw")
     h = uniform(F.col("key"), F.concat("cid", F.lit(opt.salt), F.lit("|"), F.col("draw").cast("string")))
     ranked = drawn.select("cid", "draw", "m", "x", h.alias("h"), "key").withColumn(
         "_rank", F.row_number().over(Window.partitionBy("cid", "draw").orderBy("h", "key")))
     in_a = (F.col("_rank") <= F.col("m")).cast("long")
     in_b = ((F.col("_rank") > F.col("m")) & (F.col("_rank") <= 2 * F.col("m"))).cast("long")
-    d = ks_counts(ranked.filter(F.col("_rank") <= 2 * F.col("m")), ["cid", "draw"], "x", in_a, in_b)
-    tau = d.groupBy("cid").agg(F.percentile("ks", F.lit(0.95)).alias("tau"))
-    return c.join(tau, "cid", "left").select("cid", F.coalesce("tau", F.lit(0.05)).alias("tau"))
+    return _tau(c, ks_counts(ranked.filter(F.col("_rank") <= 2 * F.col("m")), ["cid", "draw"], "x", in_a, in_b))
+
+
+def permutation_draws(reference: DataFrame, c: DataFrame, opt: SliceOptions) -> DataFrame:
+    """Every reference row in every draw, with its hash there: (cid, m, target, x, draw, h). Never written."""
+    draws = F.explode(F.sequence(F.lit(0), F.lit(opt.draws - 1))).alias("draw")
+    return reference.join(c.filter("m >= 10"), "cid").select("cid", "m", "target", "x", "k", draws).withColumn("h", F.xxhash64("k", "draw")).drop("k")
 
 
-def crossfit_residual(samples: DataFrame, folds: DataFrame) -> DataFrame:
+def permutation_floor(reference: DataFrame, cand: DataFrame, edges: Mapping[str, Sequence[float]], fine: int, opt: SliceOptions) -> DataFrame:
+    """95th percentile of the distance between two random disjoint parts of the whole reference: (cid, tau).
+
+    A draw's parts are the m rows with the smallest hashes and the m rows after
+    them. Counts per (cid, draw, hash bucket) locate the two ranks, only the rows
+    of those buckets are sorted, and the distance is counted per value bucket.
+    """
+    c = cut(cand.select("cid", _split_size(opt).alias("m")))
+    reference = cut(reference.select("cid", "target", "x", F.xxhash64("key", "cid", F.lit(opt.salt)).alias("k")), spread="k")
+    drawn = permutation_draws(reference, c, opt).withColumn("_h", F.shiftright("h", 64 - HASH_BITS))
+    at = ["cid", "draw"]
+    counts = drawn.groupBy(*at, "m", "_h").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_hi", F.sum("_c").over(Window.partitionBy(*at).orderBy("_h"))).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    counts = counts.withColumn("_rank", F.explode(F.array(F.col("m"), 2 * F.col("m"))))
+    need = cut(counts.filter((F.col("_lo") < F.col("_rank")) & (F.col("_rank") <= F.col("_hi"))).select(*at, "_h", "_rank", "_lo"))
+    inside = drawn.drop("m").join(need.select(*at, "_h").distinct(), [*at, "_h"]).select(*at, "_h", "h")
+    ranked = inside.withColumn("_i", F.row_number().over(Window.partitionBy(*at, "_h").orderBy("h")))
+    found = ranked.join(need, [*at, "_h"]).filter(F.col("_i") == F.col("_rank") - F.col("_lo"))
+    ends = cut(found.groupBy(*at).agg(F.min("h").alias("_t1"), F.max("h").alias("_t2")))
+    parts = drawn.join(ends, at).filter(F.col("h") <= F.col("_t2"))
+    in_a = (F.col("h") <= F.col("_t1")).cast("long")
+    return _tau(c, ks_split(parts, at, "x", bucket_by(F.col("x"), F.col("target"), edges, fine), in_a, 1 - in_a))
+
+
+def crossfit_residual(folds: DataFrame, fits: DataFrame, reference: DataFrame, members: DataFrame, base: Sequence[str],
+                      edges: Mapping[str, Sequence[float]], direct: bool, fine: int) -> DataFrame:
     """Worst residual distance over both directions: (cid, ks_add, ks_mul).
 
-    ``folds`` (cid, part, delta, r) holds the moves fitted on each fold; they are
-    applied to the other fold and compared with the reference sample.
+    ``fits`` (cid, part, delta, r) holds the moves fitted on each fold; they are
+    applied to the other fold (cid, part, target, x, n) and compared with the
+    reference, the histogram (base.., target, x, n) of ``members`` (cid, base..).
     """
-    other = F.when(F.col("part") == "A", "B").otherwise("A")
-    fits = folds.select("cid", "part", "delta", F.when(F.col("r") > 0, F.col("r")).alias("r"))
-    ev = samples.filter("part <> 'R'").select("cid", other.alias("part"), "x").join(fits, ["cid", "part"])
-    moves = F.array(F.struct(F.lit("add").alias("how"), (F.col("x") - F.col("delta")).alias("y")),
-                    F.struct(F.lit("mul").alias("how"), (F.col("x") / F.col("r")).alias("y")))
-    a = ev.select("cid", "part", F.explode(moves).alias("m")).select("cid", "part", "m.how", F.col("m.y").alias("x")).filter("x is not null")
-    tests = fits.select("cid", "part", F.explode(F.array(F.lit("add"), F.lit("mul"))).alias("how"))
-    b = samples.filter("part = 'R'").select("cid", "x").join(tests, "cid").select("cid", "part", "how", "x")
-    one = F.lit(1).cast("long").alias("n")
-    d = ks_direct(a.select("*", one), b.select("*", one), ["cid", "part", "how"])
-    d = tests.join(fits.select("cid", "part", "r"), ["cid", "part"]).join(d, ["cid", "part", "how"], "left")
-    value = F.when((F.col("how") == "mul") & F.col("r").isNull(), F.lit(1.0)).otherwise(F.coalesce("ks", F.lit(0.0)))
-    return d.groupBy("cid").agg(F.max(F.when(F.col("how") == "add", value)).alias("ks_add"), F.max(F.when(F.col("how") == "mul", value)).alias("ks_mul"))
+    fits = fits.select("cid", "part", "delta", F.when(F.col("r") > 0, F.col("r")).alias("r"))
+    other = folds.withColumn("part", F.when(F.col("part") == "A", "B").otherwise("A"))
+    one, yes = F.lit(1.0), F.lit(True).alias("exact")
+    grid = fits.select("cid", "part", F.lit(0).alias("g"), F.col("delta").alias("d"), one.alias("r"), yes).unionByName(
+        fits.filter("r is not null").select("cid", "part", F.lit(1).alias("g"), F.lit(0.0).alias("d"), "r", yes))
+    grid = cut(grid)
+    d = ks_grid(other, reference, grid.select("cid", "part").distinct().join(members, "cid"), grid, problem=["cid", "part"], base=base,
+                edges=edges, edges_key="target", direct=direct, fine=fine).select("cid", "part", "g", "ks")
+    d = fits.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1)))).join(d, ["cid", "part", "g"], "left")
+    value = F.when((F.col("g") == 1) & F.col("r").isNull(), one).otherwise(F.coalesce("ks", F.lit(0.0)))
+    return d.groupBy("cid").agg(F.max(F.when(F.col("g") == 0, value)).alias("ks_add"), F.max(F.when(F.col("g") == 1, value)).alias("ks_mul"))
 
 
 def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame, edges: Mapping[str, Sequence[float]], whole: Mapping[str, bool],
@@ -318,11 +372,10 @@ def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame
     aset = full
     crossfit = opt.acceptance == "crossfit"
     if crossfit:
-        samples = cut(draw_samples(df, cand, pairs, members, row_id, opt), spread="key")
-        folds = samples.filter("part <> 'R'")
-        aset = full.unionByName(folds.groupBy("cid", "part", "target", "x").agg(F.count(F.lit(1)).alias("n")))
-        # a fold holds at most fold_cap rows
-        med = folds.groupBy("cid", "part").agg(F.percentile("x", F.lit(0.5)).alias("med_f")).join(cand.select("cid", "med_b", "scale", "target"), "cid")
+        folds = cut(fold_rows(df, cand, pairs, row_id, opt).groupBy("cid", "part", "target", "x").agg(F.count(F.lit(1)).alias("n")), spread="x")
+        aset = full.unionByName(folds)
+        med = group_quantiles(folds, ["cid", "part", "target"], {"med_f": 0.5}, weight="n", edges=edges, edges_key="target").drop("n", "target")
+        med = med.join(cand.select("cid", "med_b", "scale", "target"), "cid")
         med = cut(med.select("cid", "part", (F.col("med_f") - F.col("med_b")).alias("d0"), "scale", is_int.alias("whole"),
                              F.when(F.col("med_b") != 0, F.col("med_f") / F.col("med_b")).alias("r")))
         problems = problems.unionByName(med.drop("r"))
@@ -332,10 +385,18 @@ def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame
     t = cand.join(main, "cid").filter(F.col("stratified") | (F.col("ks0") >= 2 * F.col("floor")))
     if crossfit:
         moves = fit.filter("part <> 'full'").select("cid", "part", "delta").join(med.select("cid", "part", "r"), ["cid", "part"])
-        t = cut(t.join(crossfit_residual(samples, moves), "cid"))
+        refs, base_keys, ref_members = hist, ["slicer", "level", "target"], members
+        if opt.ref_cap is not None:
+            sampled = cut(reference_rows(df, cand, pairs, members, row_id, opt), spread="key")
+            refs, base_keys = sampled.groupBy(F.col("cid").alias("of"), "target", "x").agg(F.count(F.lit(1)).alias("n")), ["of"]
+            ref_members = cand.select("cid", F.col("cid").alias("of"))
+        t = cut(t.join(crossfit_residual(folds, moves, refs, ref_members, base_keys, edges, n_values <= opt.direct_rows, fine_for(n_values)), "cid"))
         # the noise floor is only drawn for the candidates it decides about
         open_ = t.filter(would_accept("ks_add") & is_steady() | would_accept("ks_mul"))
-        return t.join(permutation_floor(samples, open_, opt), "cid", "left")
+        if opt.ref_cap is not None:
+            return t.join(sampled_permutation_floor(sampled, open_, opt), "cid", "left")
+        floor = permutation_floor(reference_rows(df, open_, pairs, members, row_id, opt), open_, edges, min(64, fine_for(n_values)), opt)
+        return t.join(floor, "cid", "left")
     grid = cand.filter(F.col("ratio") > 0).select("cid", F.lit("full").alias("part"), F.lit(0).alias("g"), F.lit(0.0).alias("d"), F.col("ratio").alias("r"), F.lit(True).alias("exact"))
     mul = Refiner(hist, members, full, edges, n_values, opt).distances(grid).select("cid", F.col("ks").alias("ks_m"))
     return t.join(mul, "cid", "left").select(
