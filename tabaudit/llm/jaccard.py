@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.lineage import cut
@@ -106,7 +106,8 @@ def _sign(depth: int):
                             k = mix(k * np.uint64(31) + np.minimum.reduceat(val * _FACTORS[t, d], at[full]))
                         keys[full, t] = k
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.astype(np.int64).ravel()), TREES).cast(pa.list_(pa.int64()))
-                yield pa.record_batch([b.column(0).slice(s.start, s.stop - s.start), pa.array(n), pa.array(f1), pa.array(f2), lists], names=["id", "n", "node", "f2", "keys"])
+                id_, digest = (b.column(k).slice(s.start, s.stop - s.start) for k in (0, 2))
+                yield pa.record_batch([id_, digest, pa.array(n), pa.array(f1), pa.array(f2), lists], names=["id", "digest", "n", "node", "f2", "keys"])
 
     return run
 
@@ -202,13 +203,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], names=["node", "links", "root"])
 
 
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, class_id (smallest id of the documents it is connected with) and n_links
     (other documents of similarity NEAR or more, copies included)."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
+    return _classes(docs, doc_id, text).select(F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per input row: id, digest of its text, root (a node that stands for its class; null without shingles), class_id, n_links."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"), _digest(text).alias("digest"))
     kind = rows.schema["id"].dataType.simpleString()
     depth = prefix_depth(NEAR[0] / NEAR[1])
-    signed = cut(rows.mapInArrow(_sign(depth), f"id {kind}, n long, node long, f2 long, keys array<bigint>"))
+    signed = cut(rows.mapInArrow(_sign(depth), f"id {kind}, digest long, n long, node long, f2 long, keys array<bigint>"))
     # the set's 128 bits name a node; hot copies are aggregated before they move
     nodes = cut(signed.filter("n > 0").groupBy("node", "f2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys")))
     met = nodes.select("node", "copies", "keys", F.posexplode("keys").alias("tree", "key"))
@@ -230,12 +240,18 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = nodes.select("node", "least", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = named.join(least, "root").select(F.col("node").alias("m"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("id", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, F.col("node") == F.col("m"), "left")
-    return out.select(F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = named.join(least, "root").select(F.col("node").alias("m"), "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("id", "digest", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, F.col("node") == F.col("m"), "left")
+    return out.select("id", "digest", "root", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id (equal rows with that id count as one)."""
-    c = jaccard_classes(docs, doc_id, text).filter(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("__gone")).distinct()
-    return docs.join(c, docs[doc_id] == F.col("__gone"), "left_anti").dropDuplicates([doc_id, text])
+    """``docs`` with one document of each class: the one with the smallest id (a null id last), then the smallest digest
+    of its text. Equal texts with the same id count as one, and so do those without shingles."""
+    c = _classes(docs, doc_id, text)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("k")
+    keep = c.filter("root is not null").groupBy("root").agg(first).select("k.id", "k.digest").unionByName(c.filter("root is null").select("id", "digest"))
+    keep = keep.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    here = docs.withColumn("__text", _digest(text))
+    kept = here.join(keep, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi").drop("__text")
+    return kept.dropDuplicates([doc_id, text])
