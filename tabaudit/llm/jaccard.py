@@ -1,9 +1,8 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard self-join by MinHash bands, with exact verification.
 
 Documents are sets of ``WORDS``-word shingles. Documents of the same set are one node.
-Each node has ``TREES`` MinHash strings of up to ``DEPTH`` values; documents that share
-the first d values of a string meet in the same trie node of that tree. d starts at the
-full depth and is shortened until pairs at the threshold meet with the target recall
+Each node has ``TREES`` bands of the same number of MinHash values, the most (up to
+``DEPTH``) with which pairs at the threshold share a band with the target recall
 (``prefix_depth``). Pairs that meet are verified on their whole shingle sets.
 
 Pairs are never rows. A trie node's members are dealt into blocks, and the blocks of
