@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import chat, exact, jaccard, lines, mixing, packing, quality, substring, suffix_tree, urls
+from tabaudit.llm import chat, exact, interactions, jaccard, lines, mixing, packing, quality, substring, suffix_tree, urls
 from tabaudit.llm.native import table
 from tabaudit.llm.twins import TWINS
+from tabaudit.llm.twins_more import MORE
 
 #: Rules of op1: host, path, action.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -76,6 +77,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 
@@ -95,4 +101,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {k: v for k, v in TWINS.items() if k in QUERIES}
+    return {k: v for k, v in (TWINS | MORE).items() if k in QUERIES}
