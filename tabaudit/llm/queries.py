@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import chat, exact, interactions, jaccard, lines, mixing, packing, quality, substring, suffix_tree, urls
+from tabaudit.llm import chat, exact, interactions, jaccard, lines, mixing, packing, quality, repairs, substring, suffix_tree, urls
 from tabaudit.llm.native import table
 from tabaudit.llm.twins import TWINS
 from tabaudit.llm.twins_more import MORE
@@ -77,6 +77,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repairs.repair(repairs.with_damage(table(spark, folder, "conversations")))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
 
