@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import chat, exact, interactions, jaccard, lines, mixing, packing, quality, repairs, substring, suffix_tree, urls
+from tabaudit.llm import chat, exact, interactions, jaccard, lines, mixing, packing, quality, repairs, substring, suffix_tree, suffixes, urls
 from tabaudit.llm.native import table
 from tabaudit.llm.twins import TWINS
 from tabaudit.llm.twins_more import MORE
@@ -77,6 +77,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    digest = lambda df: df.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return suffixes.remove_repeats(table(spark, folder, "documents"), then=digest)
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repairs.repair(repairs.with_damage(table(spark, folder, "conversations")))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }

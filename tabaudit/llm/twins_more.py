@@ -24,6 +24,19 @@ select part, filter_order, cast(step as integer) as step, {', '.join(f'cast(coal
   cast(coalesce(sum(removed) over (partition by part, i), 0) as bigint) as shapley from s"""
 
 
+#: Two hexadecimal digits a byte; every window of 200 bytes is grouped by its digest.
+SUFFIXES = """
+with d as materialized (select doc_id, row_number() over () as k, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select k, i, md5(substr(h, 2 * i - 1, 400)) as w from (select k, h, unnest(range(1, length(h) // 2 - 198)) as i from d)),
+rep as (select k, i from (select k, i, count(*) over (partition by w) as c from win) where c > 1),
+run as (select k, i, sum(case when i > bef + 200 then 1 else 0 end) over (partition by k order by i) as g from (select k, i, lag(i) over (partition by k order by i) as bef from rep)),
+sp as materialized (select k, g, min(i) as a, max(i) + 199 as z from run group by k, g),
+pc as (select k, a as o, coalesce(lag(z) over (partition by k order by a), 0) + 1 as x, a - 1 as y from sp union all select k, max(z), max(z) + 1, null from sp group by k),
+kp as (select k, string_agg(substr(h, 2 * x - 1, 2 * (coalesce(y, length(h) // 2) - x + 1)), '' order by o) as t from pc join d using (k) group by k),
+st as (select k, sum(z - a + 1) as n, count(*) as c from sp group by k)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(st.n, 0) as bigint) as n_removed, cast(coalesce(c, 0) as bigint) as n_spans, sha256(unhex(coalesce(t, h))) as kept_sha256
+from d left join st using (k) left join kp using (k)"""
+
 
 def _repair() -> str:
     """The cheapest edits row by row, one value (cost in nine digits, then edits) a state; inserts go before rows and at the end."""
@@ -61,4 +74,4 @@ select conv_id, {', '.join(f'cast(coalesce({c}, 0) as bigint) as {c}' for c in (
 from cv join ed using (ck) left join st using (ck) left join rp using (ck)"""
 
 
-MORE = {"op12_conversation_repair": _repair(), "op13_filter_audit": INTERACTIONS}
+MORE = {"op11_suffix_dedup": SUFFIXES, "op12_conversation_repair": _repair(), "op13_filter_audit": INTERACTIONS}
