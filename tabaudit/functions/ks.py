@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabaudit.functions.lineage import cut
-from tabaudit.functions.order_stats import FINE, bucket_by, bucket_of, cumulative, value_edges
+from tabaudit.functions.order_stats import FINE, bucket_by, bucket_of, cumulative, value_edges, with_total
 
 MIN_SIDE = 6  # a side with fewer values gives distance 0
 
@@ -181,8 +181,7 @@ def ks_vs_rest(df: DataFrame, slicer: str, target: str) -> DataFrame:
     all_ = hist.groupBy("x").agg(F.sum("n").alias("m")).withColumn("_one", F.lit(1))
     total = cumulative(all_, ["_one"], "x", {"m": "c_all"}, bucket_of(F.col("x"), edges)).drop("_one")
     sizes = hist.groupBy("level").agg(F.sum("n").alias("n_own"))
-    n_all = Window.partitionBy(F.lit(1))
-    sizes = sizes.withColumn("n_all", F.sum("n_own").over(n_all))
+    sizes = with_total(sizes, "n_own", "n_all")
     at = own.join(total, "x").join(sizes, "level")
     n_rest = F.col("n_all") - F.col("n_own")
     now = F.abs(F.col("c_own") / F.col("n_own") - (F.col("c_all") - F.col("c_own")) / n_rest)

@@ -23,13 +23,35 @@ from tabaudit.functions.lineage import cut
 
 COARSE = 16
 FINE = 256
+#: Share of the rows that a bucket may hold; rounds of splitting (each narrows 256 times, so these do for any doubles).
+LARGEST = 1 / 128
+ROUNDS = 12
 
 
-def value_edges(df: DataFrame, columns: Sequence[str], coarse: int = COARSE) -> dict[str, list[float]]:
-    """Ordered bucket edges per column, from one approximate-quantile pass."""
+def value_edges(df: DataFrame, columns: Sequence[str], coarse: int = COARSE, fine: int = FINE, largest: float = LARGEST) -> dict[str, list[float]]:
+    """Ordered bucket edges per column, such that no bucket holds more than the share ``largest`` of the rows.
+
+    One approximate-quantile pass gives the first edges. A bucket that is counted above
+    the bound is split again: its smallest and largest value become edges, between which
+    it is cut anew. Each round narrows a bucket ``fine`` times or more, so a few rounds do
+    for any skew; a bucket of one value cannot be split and is left.
+    """
+    columns = list(columns)
     probs = [i / coarse for i in range(coarse + 1)]
-    found = df.approxQuantile(list(columns), probs, 1.0 / (4 * coarse))
-    return {c: sorted(set(e)) for c, e in zip(columns, found)}
+    found = df.approxQuantile(columns, probs, 1.0 / (4 * coarse))
+    edges = {c: sorted(set(e)) for c, e in zip(columns, found)}
+    split = [c for c in columns if len(edges[c]) > 1]
+    for _ in range(ROUNDS):
+        if not split:
+            break
+        cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x"), bucket_of(F.col(c), edges[c], fine).alias("b")) for i, c in enumerate(split)])
+        counts = df.select(F.explode(cells).alias("v")).select("v.*").filter("b is not null and not isnan(x)").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        large = counts.withColumn("all", F.sum("n").over(Window.partitionBy("c"))).filter((F.col("n") > largest * F.col("all")) & (F.col("lo") < F.col("hi")))
+        full = large.select("c", "lo", "hi").collect()  # 1 / largest buckets a column at most
+        for r in full:
+            edges[split[r["c"]]] = sorted({*edges[split[r["c"]]], r["lo"], r["hi"]})
+        split = [split[i] for i in sorted({r["c"] for r in full})]
+    return edges
 
 
 def bucket_of(x: Column, edges: Sequence[float], fine: int = FINE) -> Column:
@@ -144,6 +166,76 @@ def group_quantiles(
     return out.select(*group, F.col("_tot").alias(count), *cols)
 
 
+def with_total(table: DataFrame, column: str, out: str) -> DataFrame:
+    """``table`` with the sum of a column beside each row; the sum is one row, so no task gets the table."""
+    one = F.lit(1).alias("_one")
+    return table.select("*", one).join(F.broadcast(table.agg(F.sum(column).alias(out)).select(one, out)), "_one").drop("_one")
+
+
+def _locate(own: DataFrame, total: DataFrame, queries: DataFrame, whole: Sequence[str], part: Sequence[str], pos: str) -> DataFrame:
+    """Where the complement of a part holds a rank: ``queries`` (whole.., part.., q, r) with pos and ``left``, the rank within pos.
+
+    ``own`` (whole.., part.., pos, c) and ``total`` (whole.., pos, c) are counts. The
+    complement's running count is total minus own. At a position of the part it is known;
+    between two of them own stands still, so there the rank in the complement is a rank in
+    the total, moved by own's count so far. No other part is looked at.
+    """
+    whole, part = list(whole), list(part)
+    t = total.withColumn("_hiT", F.sum("_c").over(Window.partitionBy(*whole).orderBy(pos))).select(*whole, pos, "_hiT", (F.col("_hiT") - F.col("_c")).alias("_loT"))
+    o = own.withColumn("_hiO", F.sum("_c").over(Window.partitionBy(*whole, *part).orderBy(pos))).withColumn("_loO", F.col("_hiO") - F.col("_c")).join(t, [*whole, pos])
+    o = o.select(*whole, *part, pos, "_hiO", (F.col("_loT") - F.col("_loO")).alias("_before"), (F.col("_hiT") - F.col("_hiO")).alias("_after"))
+    r = F.col("r")
+    at = queries.join(o, [*whole, *part], "left").groupBy(*whole, *part, "q", "r").agg(
+        F.coalesce(F.max(F.when(F.col("_after") <= r, F.col("_hiO"))), F.lit(0)).alias("_k"),
+        F.max(F.when((F.col("_before") <= r) & (r < F.col("_after")), F.struct(pos, "_before"))).alias("_hit"))
+    at = cut(at)
+    inside = at.filter("_hit is not null").select(*whole, *part, "q", F.col(f"_hit.{pos}").alias(pos), (r - F.col("_hit._before")).alias("left"))
+    # between: the last position of the total that begins at or before the rank
+    asked = at.filter("_hit is null").select(*whole, (r + F.col("_k")).alias("_at"), F.lit(1).alias("_ask"), *part, "q")
+    given = t.select(*whole, F.col("_loT").alias("_at"), F.lit(0).alias("_ask"), pos)
+    both = given.unionByName(asked, allowMissingColumns=True)
+    run = Window.partitionBy(*whole).orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_p", F.last(F.when(F.col("_ask") == 0, F.struct(pos, "_at")), ignorenulls=True).over(run))
+    between = both.filter("_ask = 1").select(*whole, *part, "q", F.col(f"_p.{pos}").alias(pos), (F.col("_at") - F.col("_p._at")).alias("left"))
+    return cut(inside.unionByName(between))
+
+
+def complement_quantiles(rows: DataFrame, whole: Sequence[str], part: Sequence[str], probs: Mapping[str, float], *, x: str = "x", wanted: DataFrame | None = None,
+                         edges: Sequence[float] | Mapping[str, Sequence[float]] | None = None, edges_key: str | None = None, count: str = "n", fine: int = FINE) -> DataFrame:
+    """Exact quantiles of what remains of each ``whole`` group without one of its parts, for every part (or the ``wanted`` ones).
+
+    Ranks are searched in total counts minus own counts, by bucket and then by value in the
+    buckets that hold a rank, so the cost is that of one quantile per whole group plus a few
+    rows a part: linear in the number of parts. Parts that leave nothing are left out.
+    """
+    whole, part = list(whole), list(part)
+    if edges is None:
+        edges = value_edges(rows, [x])[x]
+    bucket = bucket_by(F.col(x), F.col(edges_key), edges, fine) if edges_key else bucket_of(F.col(x), edges, fine)
+    base = rows.filter(F.col(x).isNotNull()).select(*whole, *part, F.col(x).alias("_x"), bucket.alias("_b"))
+    own = cut(base.groupBy(*whole, *part, "_b").agg(F.count(F.lit(1)).alias("_c")))
+    total = own.groupBy(*whole, "_b").agg(F.sum("_c").alias("_c"))
+    mine = own if wanted is None else own.join(wanted, part, "left_semi")
+    sizes = mine.groupBy(*whole, *part).agg(F.sum("_c").alias("_n")).join(own.groupBy(*whole).agg(F.sum("_c").alias("_of")), whole)
+    sizes = cut(sizes.select(*whole, *part, (F.col("_of") - F.col("_n")).alias("_tot")).filter("_tot > 0"))
+    ranks, names = [], list(probs)
+    for i, q in enumerate(probs.values()):
+        place = F.lit(float(q)) * (F.col("_tot") - 1)
+        ranks += [F.struct(F.lit(2 * i).alias("q"), F.floor(place).alias("r")), F.struct(F.lit(2 * i + 1).alias("q"), F.ceil(place).alias("r"))]
+    queries = sizes.select(*whole, *part, F.inline(F.array(*ranks)))
+    in_bucket = _locate(mine, total, queries, whole, part, "_b")
+    near = cut(base.join(in_bucket.select(*whole, "_b").distinct(), [*whole, "_b"]).groupBy(*whole, "_b", *part, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    own_near = near.join(in_bucket.select(*whole, "_b", *part).distinct(), [*whole, "_b", *part], "left_semi")
+    total_near = near.groupBy(*whole, "_b", "_x").agg(F.sum("_c").alias("_c"))
+    found = _locate(own_near, total_near, in_bucket.withColumnRenamed("left", "r"), [*whole, "_b"], part, "_x")
+    wide = found.groupBy(*whole, *part).agg(*[F.max(F.when(F.col("q") == k, F.col("_x"))).alias(f"_x{k}") for k in range(2 * len(names))]).join(sizes, [*whole, *part])
+    out = []
+    for i, (name, q) in enumerate(probs.items()):
+        place = F.lit(float(q)) * (F.col("_tot") - 1)
+        out.append((F.col(f"_x{2 * i}") + (F.col(f"_x{2 * i + 1}") - F.col(f"_x{2 * i}")) * (place - F.floor(place))).alias(name))
+    return wide.select(*whole, *part, F.col("_tot").alias(count), *out)
+
+
 def cumulative(hist: DataFrame, keys: Sequence[str], x: str, sums: Mapping[str, str], bucket: Column) -> DataFrame:
     """Running totals of ``sums`` (column -> output) over ordered ``x`` per group.
 

@@ -7,8 +7,8 @@ Stages, each one pass over the table or less:
 2. cheap detection on those small tables; only the candidates go on;
 3. value histograms of the candidates, on which the offset is refined by a
    two-step grid of exact Kolmogorov-Smirnov distances;
-4. cross-fitted residuals and a permutation noise floor over all rows, split by
-   row hash, that decide acceptance.
+4. cross-fitted residuals over all rows, split by row hash, and a permutation noise
+   floor drawn on the reference's value counts, that decide acceptance.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabaudit.functions.ks import ks_counts, ks_floor, ks_grid, ks_split
+from tabaudit.functions.ks import ks_counts, ks_floor, ks_grid
 from tabaudit.functions.lineage import cut
-from tabaudit.functions.order_stats import bucket_by, fine_for, group_quantiles, value_edges
+from tabaudit.functions.order_stats import bucket_by, complement_quantiles, fine_for, group_quantiles, value_edges
+from tabaudit.functions.permutation import permutation_distances
 from tabaudit.functions.predicates import as_number, is_whole
 from tabaudit.functions.rng import key_text, uniform
 from tabaudit.operators import findings as FD
@@ -35,7 +36,6 @@ REST = "*"  # the stratum that stands for all rows of a level
 NO_STRATUM = "\u0000"
 CELL = ["cid", "slicer", "level", "ref", "target"]
 DIRECT_ROWS = 5_000
-HASH_BITS = 8  # hash buckets by which a rank is located
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,26 @@ def _pool(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean"))).alias("m2"))
 
 
+def _reference_moments(cells: DataFrame, own: DataFrame) -> DataFrame:
+    """Moments (cid, n, m2) of each comparison's reference, from those of the levels.
+
+    All other levels are what comes before and what comes after a level, summed about a
+    centre that a single level cannot move far, so nothing is subtracted but a mean.
+    """
+    named = cells.filter("ref is not null").join(own.withColumnRenamed("level", "ref"), ["slicer", "ref", "target"]).select("cid", "n", "m2")
+    centre = own.groupBy("slicer", "target").agg(F.percentile("mean", F.lit(0.5)).alias("_c"))
+    gap = F.col("mean") - F.col("_c")
+    sums = own.join(centre, ["slicer", "target"]).select("slicer", "target", "level", "n", (F.col("n") * gap).alias("s1"), (F.col("m2") + F.col("n") * gap * gap).alias("s2"))
+    w = Window.partitionBy("slicer", "target").rowsBetween(Window.unboundedPreceding, -1)
+
+    def others(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(w.orderBy("level")), F.lit(0)) + F.coalesce(F.sum(c).over(w.orderBy(F.col("level").desc())), F.lit(0))
+
+    rest = sums.select("slicer", "target", "level", others("n").alias("n"), others("s1").alias("s1"), others("s2").alias("s2")).filter("n > 0")
+    rest = rest.select("slicer", "target", "level", "n", F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0)).alias("m2"))
+    return named.unionByName(cells.filter("ref is null").join(rest, ["slicer", "target", "level"]).select("cid", "n", "m2"))
+
+
 def cell_table(df: DataFrame, slicers: Sequence[str], targets: Sequence[str], strata: Mapping[str, str | None],
                edges: Mapping[str, Sequence[float]]) -> DataFrame:
     """Per comparison: sizes, spreads and medians of both sides, and the consistent offset across strata."""
@@ -119,19 +139,18 @@ def cell_table(df: DataFrame, slicers: Sequence[str], targets: Sequence[str], st
     mom = cut(_moments(rows))
     own = _pool(mom, ["slicer", "level", "target"])
     a = own.select("slicer", "level", "target", F.col("n").alias("n_a"), F.sqrt(F.col("m2") / (F.col("n") - 1)).alias("std_a"))
-    members = reference_members(cells, own)
-    b = _pool(members.join(own, ["slicer", "level", "target"]), ["cid"]).select(
-        "cid", F.col("n").alias("n_b"), F.sqrt(F.col("m2") / (F.col("n") - 1)).alias("std_b"))
-
-    # groups whose median is wanted: each level, and for large slicers its complement; both overall and per stratum
-    base = mom.select("slicer", "level", "stratum", "target")
-    groups = levels.select("slicer", F.col("level").alias("g_level"), "n_levels")
-    own_m = base.join(groups, "slicer").filter("level = g_level").withColumn("side", F.lit("own"))
-    rest_m = base.join(groups.filter(F.col("n_levels") > PAIRWISE_LEVELS), "slicer").filter("level <> g_level").withColumn("side", F.lit("rest"))
-    both = own_m.unionByName(rest_m).drop("n_levels")
-    both = both.withColumn("g_stratum", F.explode(F.array(F.lit(REST), F.col("stratum")))).filter(F.col("g_stratum") != NO_STRATUM)
-    med = group_quantiles(rows, ["slicer", "level", "stratum", "target"], {"median": 0.5}, members=both,
-                          group=["side", "slicer", "g_level", "g_stratum", "target"], edges=edges, edges_key="target", count="size")
+    b = _reference_moments(cells, own).select("cid", F.col("n").alias("n_b"), F.sqrt(F.col("m2") / (F.col("n") - 1)).alias("std_b"))
+
+    # medians of each level, and for large slicers of all other levels; both overall and per stratum
+    each = rows.withColumn("g_stratum", F.explode(F.array(F.lit(REST), F.col("stratum")))).filter(F.col("g_stratum") != NO_STRATUM)
+    wanted = levels.select("slicer", "level")
+    med = group_quantiles(each.join(wanted, ["slicer", "level"], "left_semi"), ["slicer", "level", "g_stratum", "target"], {"median": 0.5}, edges=edges, edges_key="target", count="size")
+    med = med.select(F.lit("own").alias("side"), "slicer", F.col("level").alias("g_level"), "g_stratum", "target", "median", "size")
+    many = levels.filter(F.col("n_levels") > PAIRWISE_LEVELS).select("slicer", "level")
+    if many.take(1):
+        large = each.join(many.select("slicer").distinct(), "slicer", "left_semi")
+        rest = complement_quantiles(large, ["slicer", "g_stratum", "target"], ["level"], {"median": 0.5}, wanted=many.select("level").distinct(), edges=edges, edges_key="target", count="size")
+        med = med.unionByName(rest.select(F.lit("rest").alias("side"), "slicer", F.col("level").alias("g_level"), "g_stratum", "target", "median", "size"))
     med = cut(med)
 
     place = ["slicer", "target"]
@@ -301,34 +320,15 @@ def sampled_permutation_floor(reference: DataFrame, cand: DataFrame, opt: SliceO
     return _tau(c, ks_counts(ranked.filter(F.col("_rank") <= 2 * F.col("m")), ["cid", "draw"], "x", in_a, in_b))
 
 
-def permutation_draws(reference: DataFrame, c: DataFrame, opt: SliceOptions) -> DataFrame:
-    """Every reference row in every draw, with its hash there: (cid, m, target, x, draw, h). Never written."""
-    draws = F.explode(F.sequence(F.lit(0), F.lit(opt.draws - 1))).alias("draw")
-    return reference.join(c.filter("m >= 10"), "cid").select("cid", "m", "target", "x", "k", draws).withColumn("h", F.xxhash64("k", "draw")).drop("k")
-
-
-def permutation_floor(reference: DataFrame, cand: DataFrame, edges: Mapping[str, Sequence[float]], fine: int, opt: SliceOptions) -> DataFrame:
+def permutation_floor(hist: DataFrame, members: DataFrame, cand: DataFrame, edges: Mapping[str, Sequence[float]], fine: int, opt: SliceOptions) -> DataFrame:
     """95th percentile of the distance between two random disjoint parts of the whole reference: (cid, tau).
 
-    A draw's parts are the m rows with the smallest hashes and the m rows after
-    them. Counts per (cid, draw, hash bucket) locate the two ranks, only the rows
-    of those buckets are sorted, and the distance is counted per value bucket.
+    The parts are drawn on the counts of the reference's values (see ``functions.permutation``), no row is copied.
     """
     c = cut(cand.select("cid", _split_size(opt).alias("m")))
-    reference = cut(reference.select("cid", "target", "x", F.xxhash64("key", "cid", F.lit(opt.salt)).alias("k")), spread="k")
-    drawn = permutation_draws(reference, c, opt).withColumn("_h", F.shiftright("h", 64 - HASH_BITS))
-    at = ["cid", "draw"]
-    counts = drawn.groupBy(*at, "m", "_h").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_hi", F.sum("_c").over(Window.partitionBy(*at).orderBy("_h"))).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    counts = counts.withColumn("_rank", F.explode(F.array(F.col("m"), 2 * F.col("m"))))
-    need = cut(counts.filter((F.col("_lo") < F.col("_rank")) & (F.col("_rank") <= F.col("_hi"))).select(*at, "_h", "_rank", "_lo"))
-    inside = drawn.drop("m").join(need.select(*at, "_h").distinct(), [*at, "_h"]).select(*at, "_h", "h")
-    ranked = inside.withColumn("_i", F.row_number().over(Window.partitionBy(*at, "_h").orderBy("h")))
-    found = ranked.join(need, [*at, "_h"]).filter(F.col("_i") == F.col("_rank") - F.col("_lo"))
-    ends = cut(found.groupBy(*at).agg(F.min("h").alias("_t1"), F.max("h").alias("_t2")))
-    parts = drawn.join(ends, at).filter(F.col("h") <= F.col("_t2"))
-    in_a = (F.col("h") <= F.col("_t1")).cast("long")
-    return _tau(c, ks_split(parts, at, "x", bucket_by(F.col("x"), F.col("target"), edges, fine), in_a, 1 - in_a))
+    reference = hist.join(members.join(c.select("cid"), "cid", "left_semi"), ["slicer", "level", "target"])
+    d = permutation_distances(reference, c.filter("m >= 10"), bucket_by(F.col("x"), F.col("target"), edges, fine), opt.draws, opt.salt)
+    return _tau(c, d)
 
 
 def crossfit_residual(folds: DataFrame, fits: DataFrame, reference: DataFrame, members: DataFrame, base: Sequence[str],
@@ -395,7 +395,7 @@ def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame
         open_ = t.filter(would_accept("ks_add") & is_steady() | would_accept("ks_mul"))
         if opt.ref_cap is not None:
             return t.join(sampled_permutation_floor(sampled, open_, opt), "cid", "left")
-        floor = permutation_floor(reference_rows(df, open_, pairs, members, row_id, opt), open_, edges, min(64, fine_for(n_values)), opt)
+        floor = permutation_floor(hist, members, open_, edges, fine_for(n_values), opt)
         return t.join(floor, "cid", "left")
     grid = cand.filter(F.col("ratio") > 0).select("cid", F.lit("full").alias("part"), F.lit(0).alias("g"), F.lit(0.0).alias("d"), F.col("ratio").alias("r"), F.lit(True).alias("exact"))
     mul = Refiner(hist, members, full, edges, n_values, opt).distances(grid).select("cid", F.col("ks").alias("ks_m"))

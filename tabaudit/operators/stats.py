@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabaudit.functions.order_stats import group_quantiles
+from tabaudit.functions.order_stats import complement_quantiles, group_quantiles, value_edges, with_total
 
 MIN_TABLE_ROW = 20
 
@@ -37,19 +36,16 @@ def stratum_medians(df: DataFrame, slicer: str, stratum: str, target: str) -> Da
 def complement_medians(df: DataFrame, slicer: str, target: str) -> DataFrame:
     """Median of every level and of all other levels, without another pass per level."""
     rows = df.select(F.col(slicer).cast("string").alias("level"), F.col(target).cast("double").alias("x")).filter("level is not null")
-    levels = rows.groupBy("level").agg(F.count(F.lit(1)).alias("c")).withColumn("_k", F.lit(1))
-    others = levels.select(F.col("level").alias("group"), "_k").join(levels.select("level", "_k"), "_k").drop("_k")
-    own = others.filter(F.col("group") == F.col("level")).withColumn("side", F.lit("own"))
-    rest = others.filter(F.col("group") != F.col("level")).withColumn("side", F.lit("rest"))
-    q = group_quantiles(rows, ["level"], {"median": 0.5}, members=own.unionByName(rest), group=["group", "side"])
-    return q.select(F.col("group").alias("level"), "side", "n", "median")
+    edges = value_edges(rows, ["x"])["x"]
+    own = group_quantiles(rows, ["level"], {"median": 0.5}, edges=edges).select("level", F.lit("own").alias("side"), "n", "median")
+    rest = complement_quantiles(rows.withColumn("_all", F.lit(1)), ["_all"], ["level"], {"median": 0.5}, edges=edges)
+    return own.unionByName(rest.select("level", F.lit("rest").alias("side"), "n", "median"))
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Share of each value among the non-null rows."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("_t", total).select("value", "n", (F.col("n") / F.col("_t")).alias("share"))
+    return with_total(counts, "n", "_t").select("value", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
 def tv_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str = "value", share: str = "share") -> DataFrame:
@@ -67,8 +63,7 @@ def tv_vs_rest(df: DataFrame, slicer: str, target: str) -> DataFrame:
     sizes = counts.groupBy("level").agg(F.sum("n").alias("n_level"))
     totals = counts.groupBy("value").agg(F.sum("n").alias("n_value"))
     j = counts.join(sizes, "level").join(totals, "value")
-    n_all = F.sum("n_level").over(Window.partitionBy(F.lit(1)))
-    rest_size = sizes.withColumn("n_rest", n_all - F.col("n_level")).select("level", "n_rest")
+    rest_size = with_total(sizes, "n_level", "n_all").select("level", (F.col("n_all") - F.col("n_level")).alias("n_rest"))
     j = j.join(rest_size, "level")
     gap = F.abs(F.col("n") / F.col("n_level") - (F.col("n_value") - F.col("n")) / F.col("n_rest"))
     # a value the level lacks differs by its whole share in the rest: rows of the rest minus those of shared values

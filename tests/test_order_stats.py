@@ -80,3 +80,44 @@ def test_hot_group_in_text_order(spark):
     split = O.ordinal_in_group(df, ["k"], ["x"], "rn", hot_rows=100).orderBy("rn").collect()
     assert [r["rn"] for r in split] == list(range(1, 2001))
     assert [r["x"] for r in split] == sorted(f"n{i}" for i in range(2000))
+
+
+def test_buckets_of_a_skewed_column_are_bounded(spark):
+    rng = np.random.default_rng(8)
+    x = np.append(rng.lognormal(0, 3, 40_000), [1e12, -1e15])
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": np.where(rng.random(len(x)) < 0.4, 0.0, x)}))
+    edges = O.value_edges(df, ["x", "z"])
+    n = df.groupBy(O.bucket_of(F.col("x"), edges["x"]).alias("b")).count().agg(F.max("count")).first()[0]
+    assert n <= O.LARGEST * len(x)
+    # a value that most rows have keeps its bucket, alone
+    z = df.groupBy(O.bucket_of(F.col("z"), edges["z"]).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("z").alias("d")).filter(F.col("n") > O.LARGEST * len(x)).collect()
+    assert [r["d"] for r in z] == [1]
+    q = {"a": 0.01, "m": 0.5, "b": 0.999, "top": 1.0}
+    got = O.group_quantiles(df.withColumn("k", F.lit(1)), ["k"], q, edges=edges["x"]).first()
+    np.testing.assert_allclose([got[c] for c in q], np.quantile(x, list(q.values())), rtol=1e-12)
+
+
+@pytest.mark.parametrize("edges", [None, [0.0], [-1.0, 0.0, 2.0]])
+def test_quantiles_of_complements(spark, edges):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"w": rng.integers(0, 3, 3000), "p": rng.choice(list("abcdefgh"), 3000, p=[0.5, 0.2, 0.1, 0.1, 0.04, 0.03, 0.02, 0.01]), "x": np.round(rng.normal(0, 2, 3000), 1)})
+    pdf.loc[pdf.p == "b", "x"] += 4.0
+    pdf = pd.concat([pdf, pd.DataFrame({"w": [9] * 3, "p": ["a", "b", "b"], "x": [1.0, 2.0, 5.0]}), pd.DataFrame({"w": [10] * 2, "p": ["a", "a"], "x": [1.0, 2.0]})])
+    q = {"lo": 0.0, "q": 0.25, "m": 0.5, "hi": 1.0}
+    got = {(r["w"], r["p"]): r for r in O.complement_quantiles(spark.createDataFrame(pdf), ["w"], ["p"], q, edges=edges).collect()}
+    want = {(w, p): g[g.p != p].x for w, g in pdf.groupby("w") for p in g.p.unique() if (g.p != p).any()}
+    assert set(got) == set(want)
+    for k, x in want.items():
+        assert got[k]["n"] == len(x)
+        np.testing.assert_allclose([got[k][c] for c in q], x.quantile(list(q.values())), rtol=1e-12, atol=1e-12)
+
+
+def test_complements_of_many_parts_are_linear(spark):
+    """2,000 parts: what is shuffled is a few rows a part, not a row a pair of parts."""
+    df = spark.range(40_000).select((F.col("id") % 2000).alias("p"), F.lit(1).alias("w"), (F.pmod(F.xxhash64("id"), F.lit(9973)) / 7.0).alias("x"))
+    out = O.complement_quantiles(df, ["w"], ["p"], {"m": 0.5})
+    pdf = df.toPandas()
+    got = {r["p"]: r["m"] for r in out.collect()}
+    assert len(got) == 2000
+    for p in (0, 7, 1999):
+        assert got[p] == pytest.approx(pdf[pdf.p != p].x.median(), rel=1e-12)

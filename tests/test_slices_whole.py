@@ -2,7 +2,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabaudit.functions.order_stats import value_edges
+from tabaudit.functions.order_stats import bucket_of
+from tabaudit.functions.permutation import draw_counts, permutation_distances
 from tabaudit.operators import slices as S
 
 
@@ -35,23 +36,49 @@ def test_residual_and_floor_over_all_rows(spark):
     assert abs(row.ks_mul - want) < 1e-3 and 0 < row.ks_add < 0.05 and 0 < row.tau < 0.05
 
 
-def test_floor_equals_plain_ranks(spark):
-    opt, m, rng = S.SliceOptions(draws=9), 3000, np.random.default_rng(3)
-    # tied and continuous values, and one small group
-    rows = [("c", "x", str(i), float(v)) for i, v in enumerate(np.concatenate([rng.normal(size=5000), rng.integers(0, 5, 4000)]))]
-    rows += [("small", "x", str(i), float(i % 7)) for i in range(200)]
-    ref = spark.createDataFrame(rows, "cid string, target string, key string, x double")
-    cand = spark.createDataFrame([("c", 2 * m, 9000), ("small", 5000, 200)], "cid string, n_a long, n_b long")
-    got = {r.cid: r.tau for r in S.permutation_floor(ref, cand, value_edges(ref, ["x"]) , 8, opt).collect()}
-    c = cand.select("cid", S._split_size(opt).alias("m"))
-    keyed = ref.select("cid", "target", "x", F.xxhash64("key", "cid", F.lit("")).alias("k"))
-    drawn = S.permutation_draws(keyed, c, opt).collect()
-    for cid, size in (("c", m), ("small", 100)):
-        ks = []
-        for d in range(9):
-            x = [r.x for r in sorted((r for r in drawn if r.cid == cid and r.draw == d), key=lambda r: r.h)]
-            ks.append(_ks(np.array(x[:size]), np.array(x[size : 2 * size])))
-        assert abs(got[cid] - np.percentile(ks, 95)) < 1e-12
+def _row_permutations(x, m, draws, rng):
+    out = []
+    for _ in range(draws):
+        p = rng.permutation(x)
+        out.append(_ks(p[:m], p[m : 2 * m]))
+    return np.array(out)
+
+
+def test_draws_on_counts_are_row_permutations(spark):
+    """Mean and 95th percentile of the distances, for continuous, tied and mixed values, within sampling error."""
+    rng = np.random.default_rng(3)
+    data = {"even": (rng.normal(size=9000), 3000), "tied": (rng.integers(0, 5, 4000).astype(float), 1500), "mixed": (np.where(rng.random(6000) < 0.5, 0.0, rng.lognormal(size=6000)), 3000), "small": (np.arange(40.0), 10)}
+    rows = [(c, "x", float(v), 1) for c, (x, _) in data.items() for v in x]
+    hist = spark.createDataFrame(rows, "cid string, target string, x double, n int")
+    sizes = spark.createDataFrame([(c, m) for c, (_, m) in data.items()], "cid string, m long")
+    for edges in ([-3.0, -0.5, 0.0, 0.5, 4.0, 40.0], [0.0]):
+        got = permutation_distances(hist, sizes, bucket_of(F.col("x"), edges, 8), 1000).collect()
+        assert len(got) == 4000
+        for c, (x, m) in data.items():
+            ours, rows_ = np.array([r.ks for r in got if r.cid == c]), _row_permutations(x, m, 1000, rng)
+            assert abs(ours.mean() - rows_.mean()) < 4 * rows_.std() * np.sqrt(2 / 1000)
+            # distances are multiples of 1 / m, so the percentile may fall on the next one
+            assert abs(np.percentile(ours, 95) - np.percentile(rows_, 95)) < 0.08 * np.percentile(rows_, 95) + 1.01 / m
+
+
+def test_a_draw_costs_nodes_and_not_rows():
+    """A thousand times the rows on the same values: the same work; and the distances shrink as they have to."""
+    rng = np.random.default_rng(1)
+    counts = rng.integers(1, 5, 4096)
+    for k in (1, 1000, 10**7):
+        n = counts * k
+        m = int(n.sum() // 2)
+        a, z = draw_counts(rng, n, m)
+        assert a.sum() == z.sum() == m and (a + z <= n).all() and (a >= 0).all() and (z >= 0).all()
+        d = np.abs(np.cumsum(a) - np.cumsum(z)).max() / m
+        assert 0.2 < d * np.sqrt(m / 2) < 2.5
+
+
+def test_draws_do_not_depend_on_the_partitioning(spark):
+    hist = spark.range(3000).select(F.lit("c").alias("cid"), (F.pmod(F.xxhash64("id"), F.lit(701)) / 3).alias("x"), F.lit(1).alias("n"))
+    sizes = spark.createDataFrame([("c", 900)], "cid string, m long")
+    one, two = ({(r.draw, r.ks) for r in permutation_distances(h, sizes, bucket_of(F.col("x"), [0.0, 100.0, 240.0], 16), 30).collect()} for h in (hist, hist.repartition(7, "x")))
+    assert one == two
 
 
 def test_caps_still_bound_what_is_drawn(spark):
