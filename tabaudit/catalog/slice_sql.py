@@ -1,4 +1,9 @@
-"""SQL twin of the numeric slice audit for one slicer and target, as a chain of CTEs."""
+"""SQL twin of the numeric slice audit for one slicer and target, as a chain of CTEs.
+
+The permutation floor is drawn by permuting rows here and on value counts by the
+operator: the same distribution, other random numbers. So the floor itself is not
+compared, only what it decides (``q_perm_floor`` has a plain numpy version).
+"""
 
 from __future__ import annotations
 
@@ -60,12 +65,8 @@ cells_t as materialized (select cid, lv, ref, n_a, n_b, std_a, std_b, med_a, med
 flags as (select *, std_a < 0.05 * scale and abs(med_a - med_b) > 0.5 * scale as collapsed from cells_t),
 cand as materialized (select * from flags where not collapsed and abs(delta0) > 0.10 * scale and (not stratified or sign >= 0.85)),
 hb as materialized (select cid, x, count(*) as n from rb where cid in (select cid from cand) group by 1, 2),
-ua as (select c.cid, b.x, b.key, c.n_a, {_u('b.key', f"(c.cid || '{salt}')")} as u from cand c join base b on b.lv = c.lv where b.x is not null),
-va as (select cid, x, key, n_a, case when u < 0.5 then 'A' else 'B' end as part, case when u < 0.5 then u else u - 0.5 end as v from ua),
-fold as materialized (select * from (select *, row_number() over (partition by cid, part order by v, key) as k from va) where k <= least(n_a // 2, 2000)),
-ur as (select m.cid, b.x, b.key, row_number() over (partition by m.cid order by {_u('b.key', f"(m.cid || '{salt}|ref')")}, b.key) as k
-  from mem m join base b on b.lv = m.blv where b.x is not null and m.cid in (select cid from cand)),
-samp as materialized (select ur.* from ur join cand using (cid) where k <= least(n_b, 4000)),
+fold as materialized (select c.cid, b.x, b.key, case when {_u('b.key', f"(c.cid || '{salt}')")} < 0.5 then 'A' else 'B' end as part
+  from cand c join base b on b.lv = c.lv where b.x is not null),
 med as materialized (select cid, part, quantile_cont(x, 0.5) as m from fold group by 1, 2),
 probs as materialized (select cid, 'full' as part, delta0 as d0, scale, cast(null as double) as fr from cand
   union all select cid, part, m - med_b, scale, case when med_b <> 0 then m / med_b end from med join cand using (cid)),
@@ -98,15 +99,14 @@ fits as (select cid, part, delta, case when fr > 0 then fr end as r from fit whe
 ev as (select f.cid, t.part, f.x, t.delta, t.r from fold f join fits t on t.cid = f.cid and t.part <> f.part),
 tests as (select cid, part || '+' as part, 0 as g, delta as d, 1.0::double as r from fits union all select cid, part || '*', 0, 0.0, r from fits where r is not null),
 rset as (select cid, part || '+' as part, x, count(*) as n from ev group by 1, 2, 3 union all select cid, part || '*', x, count(*) from ev group by 1, 2, 3),
-hs as (select cid, x, count(*) as n from samp group by 1, 2),
-k5 as materialized (select * from {_ks('rset', 'hs', 'tests')}),
+k5 as materialized (select * from {_ks('rset', 'hb', 'tests')}),
 rs as (select cid, max(ks) filter (part like '%+') as ks_add,
     case when count(*) filter (part like '%*') < 2 then greatest(1.0, max(ks) filter (part like '%*')) else max(ks) filter (part like '%*') end as ks_mul from k5 group by 1),
 res as materialized (select found.*, ks_add, ks_mul, ks_add <= 0.25 * ks0 and ks_add < 0.05 and ks0 > 2 * floor_ and (iqr is null or iqr < 0.5 * abs(delta) + 0.05 * scale) as may_add,
     ks_mul <= 0.25 * ks0 and ks_mul < 0.05 and ks0 > 2 * floor_ as may_mul from found join rs using (cid)),
-open_ as (select cid, least(least(n_a // 2, 2000), least(n_b, 4000) // 2) as m from res where may_add or may_mul),
-dr as (select cid, m, j, x, row_number() over (partition by cid, j order by {_u('key', f"(cid || '{salt}|' || j)")}, key) as k
-  from samp join open_ using (cid), range(0, 200) t(j)),
+open_ as (select cid, least(n_a // 2, n_b // 2) as m from res where may_add or may_mul),
+dr as (select cid, m, j, x, row_number() over (partition by cid, j order by hash(key || '-' || cid || '{salt}|' || j)) as k
+  from (select m.cid, b.x, b.key from mem m join base b on b.lv = m.blv where b.x is not null and m.cid in (select cid from open_)) join open_ using (cid), range(0, 200) t(j)),
 dc as (select cid, j, x, cast(count(*) filter (k <= m) as double) as a, cast(count(*) filter (k > m) as double) as b from dr where k <= 2 * m group by 1, 2, 3),
 dk as (select cid, j, max(abs(ca / na - cb / nb)) as ks from (select cid, j, sum(a) over w as ca, sum(b) over w as cb, sum(a) over (partition by cid, j) as na,
     sum(b) over (partition by cid, j) as nb from dc window w as (partition by cid, j order by x)) group by 1, 2),
@@ -121,7 +121,7 @@ _DECIDE = """decided as materialized (select *, case when add_ok then 'additive_
 
 # the findings columns the registered queries show
 FOUND = """select kind, lv as level, ref, n_a as n, case when kind = 'unexplained_shift' then 'REVIEW' else 'REPAIR' end as confidence,
-  round(ks0, 6) as ks0, round(ks_add, 6) as ks_add, round(ks_mul, 6) as ks_mul, round(tau, 6) as tau, round(delta, 4) as delta, round(ratio, 6) as ratio
+  round(ks0, 6) as ks0, round(ks_add, 6) as ks_add, round(ks_mul, 6) as ks_mul, round(delta, 4) as delta, round(ratio, 6) as ratio
 from decided where kind is not null"""
 
 
