@@ -261,7 +261,7 @@ def gate_lines(spark: SparkSession, d: str) -> DataFrame:
     parts = E.split3(clean, LINE_CFG, 42).select("rid", "part")
     train = cut(dirty.join(parts.filter("part = 'train'").drop("part"), "rid"))
     val = cut(clean.join(parts.filter("part = 'validation'").drop("part"), "rid"))
-    return G.gated_repair(train, val, LINE_CFG, rounds=1).history
+    return G.gated_repair(train, val, LINE_CFG).history
 
 
 cat.add("q_gate", gate_lines)
@@ -278,4 +278,4 @@ def final_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 cat.add("q_final_test", final_test)
-cat.add("q_seed_sweep", lambda s, d: G.seed_sweep(line_table(s, d), inject_lines, LINE_CFG, seeds=(42,)))
+cat.add("q_seed_sweep", lambda s, d: G.seed_sweep(line_table(s, d), inject_lines, LINE_CFG))

@@ -194,7 +194,7 @@ def merge_entity_windows(findings: DataFrame, entity: str, time: str, min_cols:
 
 
 def demote_mass_windows(findings: DataFrame, per_col: int = 5, total: int = 12) -> DataFrame:
-    """Many single-column windows are the texture of reality: they become REVIEW."""
+    """A panel with many single-column windows has trend breaks of its own, so these go to REVIEW."""
     single = F.col("kind") == "window_growth"
     per = findings.filter(single).groupBy("target").count()
     flag = per.agg(F.sum("count").alias("_all"), F.max("count").alias("_most")).withColumn("_k", F.lit(1))

@@ -352,17 +352,22 @@ def crossfit_residual(folds: DataFrame, fits: DataFrame, reference: DataFrame, m
     return d.groupBy("cid").agg(F.max(F.when(F.col("g") == 0, value)).alias("ks_add"), F.max(F.when(F.col("g") == 1, value)).alias("ks_mul"))
 
 
+def value_counts(df: DataFrame, pairs: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Histogram (slicer, level, target, x, n) of the targets of each slicer, written."""
+    base = None
+    for s, targets in pairs.items():
+        part = long_rows(df, [s], targets, {}).filter("x is not null").groupBy("slicer", "level", "target", "x").agg(F.count(F.lit(1)).alias("n"))
+        base = part if base is None else base.unionByName(part)
+    return cut(base, spread="x")
+
+
 def evaluate_candidates(df: DataFrame, cand: DataFrame, sizes_members: DataFrame, edges: Mapping[str, Sequence[float]], whole: Mapping[str, bool],
                         row_id: Sequence[str], opt: SliceOptions) -> DataFrame:
     """Candidates with ks0, delta, ks_add, ks_mul and tau; undetected ones removed."""
     pairs: dict[str, list[str]] = {}
     for r in sorted(cand.select("slicer", "target").distinct().collect()):  # at most slicers x targets
         pairs.setdefault(r["slicer"], []).append(r["target"])
-    base = None
-    for s, targets in pairs.items():
-        part = long_rows(df, [s], targets, {}).filter("x is not null").groupBy("slicer", "level", "target", "x").agg(F.count(F.lit(1)).alias("n"))
-        base = part if base is None else base.unionByName(part)
-    hist = cut(base, spread="x")
+    hist = value_counts(df, pairs)
     n_values = hist.count()
     members = cut(sizes_members)
     full = hist.join(cand.select("cid", "slicer", "level", "target"), ["slicer", "level", "target"]).select(

@@ -7,10 +7,11 @@ back. An accepted table is written once, so lineage does not grow.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from tabaudit.operators import findings as FD
 from tabaudit.operators.evaluate import evaluate, split3
 from tabaudit.operators.repair import REVIEW_ONLY, apply_all
 from tabaudit.operators.slices import SliceOptions
-from tabaudit.operators.verify import STRICT_TOL, align_by_id, cell_report
+from tabaudit.operators.verify import STRICT_TOL, align_by_id, cell_report, restoration_report
 from tabaudit.plans.audit import audit
 
 GOAL_MARGIN = 0.03
@@ -63,58 +64,95 @@ class GateResult:
     history: DataFrame
 
 
-def _mirror(f: Row) -> tuple | None:
-    if f["kind"] in FD.MIRROR_KINDS and f["ref"] is not None:
-        return f["kind"], f["slicer"], f["target"], frozenset((f["level"], f["ref"]))
-    return None
+@dataclass(frozen=True)
+class Rule:
+    """Which findings are tried, in which order, and what score lets a repair stay.
 
-
-def gated_repair(dirty: DataFrame, held_out: DataFrame, cfg: AuditConfig, *, rule: str = "strict", tol: float = 0.0, rounds: int = 2,
-                 reviews: bool = False, seed: int = 42, opt: SliceOptions = SliceOptions()) -> GateResult:
-    """Greedy repair: try each finding, keep it if the score on ``held_out`` allows it.
-
-    ``strict`` keeps a repair that improves the score (or, with ``tol``, does not
-    lower it by more), skips the mirror of a kept one and audits again after each
-    round. ``no_worse`` takes the REPAIR findings of one audit in report order and
-    keeps what does not lower the score; a repair that cannot be planned is passed over.
+    A repair stays when its score reaches the bar plus ``margin`` (``above``: exceeds it). The
+    bar is the best score so far, or with ``follow`` that of the last accepted table.
     """
-    ev = Evaluator(held_out, cfg)
-    best = ev.submit(dirty, "v0")
-    current, kept_all = dirty, []
-    confidences = ("REPAIR", "REVIEW") if reviews and rule == "strict" else ("REPAIR",)
-    for _ in range(rounds if rule == "strict" else 1):
-        found = audit(current, cfg, opt=opt).report.orderBy("rank").collect()
-        cands = [f for f in found if f["repair"] is not None and f["confidence"] in confidences and f["repair"]["type"] not in REVIEW_ONLY]
-        if rule == "strict":
-            cands.sort(key=lambda f: 0 if f["target"].split(",")[0] in cfg.features else 1)
-        done, kept = set(), []
-        for f in cands:
-            mirror = _mirror(f)
-            if rule == "strict" and mirror in done:
+
+    margin: float
+    above: bool
+    follow: bool
+    audits: int
+    confidences: tuple[str, ...]
+    features_first: bool
+    one_direction: bool  # a pair of levels is moved in one direction only
+    pass_failing: bool  # a repair that fails is passed over
+
+    def stays(self, score: float, bar: float) -> bool:
+        wanted = bar + self.margin
+        return score > wanted if self.above else score >= wanted
+
+
+def strict_rule(tol: float = 0.0, rounds: int = 2, reviews: bool = False) -> Rule:
+    """Only improvements stay (with ``tol``: losses up to it do too); audits again after each round that kept something."""
+    return Rule(1e-6 if tol <= 0 else -tol, tol <= 0, False, rounds, ("REPAIR", "REVIEW") if reviews else ("REPAIR",), True, True, False)
+
+
+NO_WORSE = Rule(0.0, False, True, 1, ("REPAIR",), False, False, True)
+
+
+def candidates(found: DataFrame, cfg: AuditConfig, rule: Rule) -> DataFrame:
+    """The findings a rule tries, in order, with ``pair``: what a finding shares with its mirror."""
+    wanted = F.col("repair").isNotNull() & F.col("confidence").isin(*rule.confidences) & ~F.col("repair.type").isin(*REVIEW_ONLY)
+    elsewhere = ~F.substring_index("target", ",", 1).isin(*cfg.features) if rule.features_first else F.lit(False)
+    two_sided = F.col("kind").isin(*FD.MIRROR_KINDS) & F.col("ref").isNotNull()
+    pair = F.when(two_sided, F.to_json(F.array("kind", "slicer", "target", F.least("level", "ref"), F.greatest("level", "ref"))))
+    return found.filter(wanted).withColumn("pair", pair).orderBy(elsewhere, "rank")
+
+
+class _Gate:
+    """The table as repaired so far, and the scores that led to it."""
+
+    def __init__(self, dirty: DataFrame, held_out: DataFrame, cfg: AuditConfig, rule: Rule, seed: int) -> None:
+        self.now, self.cfg, self.rule, self.seed = dirty, cfg, rule, seed
+        self.scores = Evaluator(held_out, cfg)
+        self.bar = self.scores.submit(dirty, "v0")
+        self.kept: list[Row] = []
+
+    def _trial(self, f: Row) -> DataFrame | None:
+        """The table with one more repair, written, as scoring reads it several times."""
+        try:
+            return cut(apply_all(self.now, [f], self.cfg.row_id, self.rule.confidences, self.seed))
+        except (PySparkException, Py4JJavaError, ValueError):
+            if self.rule.pass_failing:
+                return None
+            raise
+
+    def attempt(self, f: Row) -> bool:
+        trial = self._trial(f)
+        if trial is None:
+            return False
+        score = self.scores.submit(trial, f"v{len(self.scores.history)}", f)
+        if not self.rule.stays(score, self.bar):
+            return False
+        self.scores.accept()
+        self.now, self.bar = trial, score if self.rule.follow else max(self.bar, score)
+        self.kept.append(f)
+        return True
+
+    def walk(self, tries: DataFrame) -> int:
+        """Tries findings as they come in; how many were kept."""
+        settled: set[str] = set()
+        before = len(self.kept)
+        for f in tries.toLocalIterator():  # one partition of findings at a time, in order
+            if self.rule.one_direction and f["pair"] in settled:
                 continue
-            # written once: scoring reads it several times
-            try:
-                trial = cut(apply_all(current, [f], cfg.row_id, confidences, seed))
-            except (AnalysisException, ValueError):
-                if rule != "no_worse":
-                    raise
-                continue  # this repair does not fit the table
-            score = ev.submit(trial, f"v{len(ev.history)}", f)
-            if rule == "no_worse":
-                ok = score >= best
-            else:
-                ok = score > best + 1e-6 if tol <= 0 else score >= best - tol
-            if ok:
-                ev.accept()
-                current = trial
-                best = max(best, score) if rule == "strict" else score
-                kept.append(f)
-                if mirror:
-                    done.add(mirror)
-        kept_all += kept
-        if not kept:
+            if self.attempt(f) and f["pair"] is not None:
+                settled.add(f["pair"])
+        return len(self.kept) - before
+
+
+def gated_repair(dirty: DataFrame, held_out: DataFrame, cfg: AuditConfig, *, rule: Rule | None = None, seed: int = 42, opt: SliceOptions = SliceOptions()) -> GateResult:
+    """Greedy repair: each finding's repair is tried on what stands so far and stays if ``rule`` says so."""
+    rule = rule or strict_rule()
+    gate = _Gate(dirty, held_out, cfg, rule, seed)
+    for _ in range(rule.audits):
+        if not gate.walk(candidates(audit(gate.now, cfg, opt=opt).report, cfg, rule)):
             break
-    return GateResult(current, kept_all, best, ev.table(dirty.sparkSession))
+    return GateResult(gate.now, gate.kept, gate.bar, gate.scores.table(dirty.sparkSession))
 
 
 def recovery_summary(history: DataFrame, p_dirty: float, p_clean: float, margin: float = GOAL_MARGIN) -> DataFrame:
@@ -134,20 +172,43 @@ def final_test(clean: DataFrame, dirty: DataFrame, cleaned: DataFrame, test: Dat
 Inject = Callable[[DataFrame, int], tuple[DataFrame, DataFrame]]
 
 
-def run_seed(clean: DataFrame, inject: Inject, cfg: AuditConfig, seed: int, *, rule: str = "no_worse", opt: SliceOptions = SliceOptions()) -> DataFrame:
-    """One seed of the protocol: inject, split 60/20/20, gate on validation, test once, count cells."""
-    dirty, _ = inject(clean, seed)
-    parts = split3(clean, cfg, seed).select(*cfg.row_id, "part")
-    own = clean.join(parts, list(cfg.row_id))
-    train_c = cut(own.filter("part = 'train'").drop("part"))
-    val, test = cut(own.filter("part = 'validation'").drop("part")), cut(own.filter("part = 'test'").drop("part"))
-    train_d = cut(dirty.join(parts.filter("part = 'train'").drop("part"), list(cfg.row_id)))
-    g = gated_repair(train_d, val, cfg, rule=rule, seed=seed, opt=opt)
-    scores = {r["name"]: r["f1"] for r in final_test(train_c, train_d, g.cleaned, test, cfg).collect()}
-    cells = cell_report(align_by_id(train_c, train_d, g.cleaned, cfg.row_id, check=False), STRICT_TOL).filter(F.col("column") == "TOTAL")
-    return cells.select(
-        F.lit(seed).alias("seed"), F.lit(scores["p_dirty"]).alias("p_dirty"), F.lit(scores["p_clean"]).alias("p_clean"), F.lit(len(g.kept)).alias("kept"),
-        F.lit(g.score).alias("f1_validation"), F.lit(scores["final"]).alias("f1_test"), "injected", "repaired", "changed", "missed", "collateral")
+@dataclass
+class Protocol:
+    """Everything one run of the whole protocol yields."""
+
+    gate: GateResult
+    scores: DataFrame  # name, f1: dirty, clean and repaired training data on the test split
+    cells: DataFrame  # cell report of the training rows
+    recovery: DataFrame  # anchors, goal and share of the improvement that was recovered
+    restoration: DataFrame | None  # per injected error, where rules are given
+
+
+def run_protocol(clean: DataFrame, inject: Inject, cfg: AuditConfig, seed: int = 42, *, rule: Rule = NO_WORSE, rules: Mapping[str, Mapping] | None = None,
+                 opt: SliceOptions = SliceOptions()) -> Protocol:
+    """Inject, split 60/20/20, gate on the validation rows, score once on the test rows, compare with the truth."""
+    dirty, truth = inject(clean, seed)
+    row_id = list(cfg.row_id)
+    parts = cut(split3(clean, cfg, seed).select(*row_id, "part"))
+
+    def rows(df: DataFrame, part: str) -> DataFrame:
+        return cut(df.join(parts.filter(F.col("part") == part).select(*row_id), row_id))
+
+    train, damaged = rows(clean, "train"), rows(dirty, "train")
+    g = gated_repair(damaged, rows(clean, "validation"), cfg, rule=rule, seed=seed, opt=opt)
+    scores = cut(final_test(train, damaged, g.cleaned, rows(clean, "test"), cfg))
+    f1 = {r["name"]: r["f1"] for r in scores.collect()}  # three rows
+    cells = cell_report(align_by_id(train, damaged, g.cleaned, row_id, check=False), STRICT_TOL)
+    restored = restoration_report(truth, train, damaged, g.cleaned, row_id, rules) if rules else None
+    return Protocol(g, scores, cells, recovery_summary(g.history, f1["p_dirty"], f1["p_clean"]), restored)
+
+
+def run_seed(clean: DataFrame, inject: Inject, cfg: AuditConfig, seed: int, **kw) -> DataFrame:
+    """One seed of the protocol as one row."""
+    p = run_protocol(clean, inject, cfg, seed, **kw)
+    f1 = {r["name"]: r["f1"] for r in p.scores.collect()}
+    return p.cells.filter(F.col("column") == "TOTAL").select(
+        F.lit(seed).alias("seed"), F.lit(f1["p_dirty"]).alias("p_dirty"), F.lit(f1["p_clean"]).alias("p_clean"), F.lit(len(p.gate.kept)).alias("kept"),
+        F.lit(p.gate.score).alias("f1_validation"), F.lit(f1["final"]).alias("f1_test"), "injected", "repaired", "changed", "missed", "collateral")
 
 
 def seed_sweep(clean: DataFrame, inject: Inject, cfg: AuditConfig, seeds: Sequence[int] = (42, 43, 44), **kw) -> DataFrame:
