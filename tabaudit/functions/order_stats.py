@@ -188,16 +188,14 @@ def _locate(own: DataFrame, total: DataFrame, queries: DataFrame, whole: Sequenc
     at = queries.join(o, [*whole, *part], "left").groupBy(*whole, *part, "q", "r").agg(
         F.coalesce(F.max(F.when(F.col("_after") <= r, F.col("_hiO"))), F.lit(0)).alias("_k"),
         F.max(F.when((F.col("_before") <= r) & (r < F.col("_after")), F.struct(pos, "_before"))).alias("_hit"))
-    at = cut(at)
-    inside = at.filter("_hit is not null").select(*whole, *part, "q", F.col(f"_hit.{pos}").alias(pos), (r - F.col("_hit._before")).alias("left"))
-    # between: the last position of the total that begins at or before the rank
-    asked = at.filter("_hit is null").select(*whole, (r + F.col("_k")).alias("_at"), F.lit(1).alias("_ask"), *part, "q")
+    # between two positions: the last one of the total that begins at or before the rank
+    asked = at.select(*whole, (r + F.col("_k")).alias("_at"), F.lit(1).alias("_ask"), *part, "q", "r", "_hit")
     given = t.select(*whole, F.col("_loT").alias("_at"), F.lit(0).alias("_ask"), pos)
-    both = given.unionByName(asked, allowMissingColumns=True)
     run = Window.partitionBy(*whole).orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = given.unionByName(asked, allowMissingColumns=True)
     both = both.withColumn("_p", F.last(F.when(F.col("_ask") == 0, F.struct(pos, "_at")), ignorenulls=True).over(run))
-    between = both.filter("_ask = 1").select(*whole, *part, "q", F.col(f"_p.{pos}").alias(pos), (F.col("_at") - F.col("_p._at")).alias("left"))
-    return cut(inside.unionByName(between))
+    left = F.when(F.col("_hit").isNotNull(), r - F.col("_hit._before")).otherwise(F.col("_at") - F.col("_p._at"))
+    return both.filter("_ask = 1").select(*whole, *part, "q", F.coalesce(f"_hit.{pos}", f"_p.{pos}").alias(pos), left.alias("left"))
 
 
 def complement_quantiles(rows: DataFrame, whole: Sequence[str], part: Sequence[str], probs: Mapping[str, float], *, x: str = "x", wanted: DataFrame | None = None,
@@ -217,13 +215,13 @@ def complement_quantiles(rows: DataFrame, whole: Sequence[str], part: Sequence[s
     total = own.groupBy(*whole, "_b").agg(F.sum("_c").alias("_c"))
     mine = own if wanted is None else own.join(wanted, part, "left_semi")
     sizes = mine.groupBy(*whole, *part).agg(F.sum("_c").alias("_n")).join(own.groupBy(*whole).agg(F.sum("_c").alias("_of")), whole)
-    sizes = cut(sizes.select(*whole, *part, (F.col("_of") - F.col("_n")).alias("_tot")).filter("_tot > 0"))
+    sizes = sizes.select(*whole, *part, (F.col("_of") - F.col("_n")).alias("_tot")).filter("_tot > 0")
     ranks, names = [], list(probs)
     for i, q in enumerate(probs.values()):
         place = F.lit(float(q)) * (F.col("_tot") - 1)
         ranks += [F.struct(F.lit(2 * i).alias("q"), F.floor(place).alias("r")), F.struct(F.lit(2 * i + 1).alias("q"), F.ceil(place).alias("r"))]
     queries = sizes.select(*whole, *part, F.inline(F.array(*ranks)))
-    in_bucket = _locate(mine, total, queries, whole, part, "_b")
+    in_bucket = cut(_locate(mine, total, queries, whole, part, "_b"))
     near = cut(base.join(in_bucket.select(*whole, "_b").distinct(), [*whole, "_b"]).groupBy(*whole, "_b", *part, "_x").agg(F.count(F.lit(1)).alias("_c")))
     own_near = near.join(in_bucket.select(*whole, "_b", *part).distinct(), [*whole, "_b", *part], "left_semi")
     total_near = near.groupBy(*whole, "_b", "_x").agg(F.sum("_c").alias("_c"))

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from tabaudit.functions.lineage import cut
 from tabaudit.functions.order_stats import bucket_of, cumulative, ordinal_in_group, value_edges
 from tabaudit.functions.predicates import as_number, slice_pred, window_pred
-from tabaudit.functions.rng import HEX_DIGITS, SCALE, key_text, uniform
+from tabaudit.functions.rng import HEX_DIGITS, SCALE, key_sql, key_text, uniform
 from tabaudit.sources.clean import TOKEN_PATTERN, TOKEN_SUFFIX, token
 
 REVIEW_ONLY = ("flag_entity", "flag_fd")
@@ -247,8 +247,7 @@ def _fill_text(r: Column, keys: Sequence[str], seed: int) -> Column:
     if not keys:
         return F.when(top["value"] / total >= DOMINANT, _quoted(top["key"]))
     salt = F.concat(F.lit(f"{seed}|"), F.concat_ws("|", "kind", "slicer", "level", "target"))
-    identity = ", ".join(f"cast(`{k}` as string)" for k in keys)
-    u = F.concat(F.lit(f"cast(conv(substring(md5(concat(concat_ws('-', {identity}), '-', "), _quoted(salt), F.lit(f")), 1, {HEX_DIGITS}), 16, 10) as double) / {SCALE!r}D"))
+    u = F.concat(F.lit(f"cast(conv(substring(md5(concat({key_sql(keys)}, '-', "), _quoted(salt), F.lit(f")), 1, {HEX_DIGITS}), 16, 10) as double) / {SCALE!r}D"))
     start = F.struct(F.lit(0.0).alias("run"), F.lit("case").alias("sql"))
 
     def step(a: Column, e: Column) -> Column:

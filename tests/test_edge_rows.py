@@ -1,9 +1,12 @@
-"""Rows the driver tables do not hold: NaN cells, null ids, boolean targets, sparse tokens."""
+"""Rows the driver tables do not hold: NaN cells, null ids, boolean targets, clashing keys, equal rows."""
+import pytest
 from pyspark.sql import functions as F
 
 from tabaudit.config import AuditConfig
 from tabaudit.operators.evaluate import encode_features
-from tabaudit.operators.verify import align_by_id, cells_differ
+from tabaudit.functions.rng import key_sql, key_text
+from tabaudit.operators.verify import align_by_id, align_by_key, cells_differ
+from tabaudit.sources.datasets import with_row_id
 
 
 def test_nan_is_missing(spark):
@@ -21,3 +24,24 @@ def test_boolean_target(spark):
     df = spark.createDataFrame([(True, 1.0), (False, 2.0)], "t boolean, n double")
     out = encode_features(df, AuditConfig(name="b", target="t", row_id=("n",), numeric_features=("n",)), {})
     assert {(r["label"], r["n"]) for r in out.collect()} == {(1, 1.0), (0, 2.0)}
+
+
+def test_different_keys_have_different_texts(spark):
+    rows = [("1", None), (None, "1"), ("a-b", "c"), ("a", "b-c"), ("a\\", "-c"), ("a\\-", "c"), ("\\", "x"), (None, "x"), ("", "x"), ("1", ""), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(key_text(["a", "b"]).alias("k"), F.expr(key_sql(["a", "b"])).alias("s")).collect()
+    assert len({r["k"] for r in got}) == len(rows) and all(r["k"] == r["s"] for r in got)
+    plain = spark.createDataFrame([("x", 3)], "a string, b int").select(key_text(["a", "b"]).alias("k"), key_text("b").alias("one")).first()
+    assert tuple(plain) == ("x-3", "3")
+
+
+def test_row_ids_do_not_depend_on_the_splits(spark):
+    df = spark.range(300).select((F.col("id") % 70).alias("a"), F.when(F.col("id") % 3 > 0, "x").alias("b"), (F.col("id") % 5 / 2).alias("c"))
+    one, two = (sorted(map(tuple, with_row_id(d).collect()), key=str) for d in (df.repartition(1), df.repartition(7, "b")))
+    assert one == two and len({r[-1] for r in one}) == 300
+
+
+def test_no_shared_key_is_an_error(spark):
+    a, b = (spark.createDataFrame([(k, 1)], "k string, v int") for k in "ab")
+    with pytest.raises(ValueError, match="no key"):
+        align_by_key(a, b, b, ["k"], ["v"], check=True)
