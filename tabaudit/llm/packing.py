@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -37,7 +38,7 @@ LENGTH, END_ID = 2048, 1
 #: Prices in tokens: a sequence, a cut at a sentence's end, a cut anywhere else.
 SEQUENCE, SENTENCE, INSIDE = 8, 8, 64
 #: Shortest sequence that goes unpadded before the stream's end; largest gap between allowed cuts.
-LEAST_POWER, GAP = 512, 256
+LEAST_POWER, GAP = 64, 256
 #: Tokens of a chunk, words looked up at once, words kept in the cache.
 CHUNK, LOOKUP, CACHE = 1 << 20, 300_000, 900_000
 
@@ -63,9 +64,10 @@ class WordIds:
         self.at: dict[bytes, int] = {}
         self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        self._add([b""], np.zeros(1, np.int64), np.zeros(0, np.int32))  # what an empty text is split into
 
     def encode(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without places in the text
 
     def _add(self, words: list[bytes], lens: np.ndarray, new: np.ndarray) -> None:
         """Words, how many ids each has, and their ids end to end."""
@@ -93,21 +95,25 @@ class WordIds:
             ids = [self.encode(w.decode()) for w in rest]
             self._add(rest, np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.int32))
 
-    def documents(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts end to end, each closed by ``end``; and the number of each text's ids."""
+    def documents(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (strings) end to end, each closed by ``end``; and the number of each text's ids.
+
+        Words are told apart and numbered by Arrow, so only distinct ones are looked up.
+        """
         if len(self.at) > self.limit:
             self.clear()
-        split = [self.fold(t).split() for t in texts]
-        words = [w for s in split for w in s]
-        at = self.at
-        if new := set(words).difference(at):
-            self.learn(list(new))
-        idx = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        trimmed = pc.ascii_trim_whitespace(texts)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(trimmed) if self.fold is bytes.lower else trimmed)
+        words = split.flatten().dictionary_encode()
+        known, at = words.dictionary.cast(pa.binary()).to_pylist(), self.at
+        if new := [w for w in known if w not in at]:
+            self.learn(new)
+        idx = np.fromiter(map(at.__getitem__, known), np.int64, len(known))[words.indices.to_numpy()]
         lens = self.lens[idx]
         upto = np.concatenate([[0], np.cumsum(lens)])
         total = int(upto[-1])
         ids = self.flat[np.repeat(self.starts[idx] - upto[:-1], lens) + np.arange(total)]
-        ends = upto[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        ends = upto[np.cumsum(pc.list_value_length(split).to_numpy())]
         sizes = np.diff(np.concatenate([[0], ends])) + 1
         return np.insert(ids, ends, end).astype("<u4"), sizes
 
@@ -225,14 +231,13 @@ def packer(spec: Callable[[], str], name: str, kind: pa.DataType, length: int =
         words, ctx = _words(spec(), name), TaskContext.get()
         stream = _Stream(words, ctx.partitionId() if ctx else 0, length)
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
+            ids, texts = b.column(0).to_pylist(), pc.fill_null(b.column(1), b"")
+            size = np.cumsum(pc.binary_length(texts).to_numpy())
             k = 0
             while k < len(ids):
-                group, size = [], 0
-                while k + len(group) < len(ids) and size < LOOKUP * 6:
-                    group.append(texts[k + len(group)].as_py() or b"")
-                    size += len(group[-1])
-                stream.add(ids[k : k + len(group)], *words.documents(group, end))
+                stop = int(np.searchsorted(size, (size[k - 1] if k else 0) + LOOKUP * 6)) + 1
+                group = texts.slice(k, stop - k)
+                stream.add(ids[k:stop], *words.documents(group.view(pa.string()), end))
                 k += len(group)
                 if len(stream.ids) >= CHUNK and (out := stream.flush(False, kind)) is not None:
                     yield out

@@ -180,6 +180,37 @@ def test_cuts_are_the_best(spark):
             assert cost(cuts.tolist()) <= best[int(cuts[-1])] + 1e-9
 
 
+@pytest.mark.parametrize("final", [True, False])
+def test_cuts_with_powers_and_gaps_are_the_best(final):
+    """Unpadded lengths, cuts inside long sentences and the stream's end, against all pairs of positions."""
+    rng, length, used = np.random.default_rng(7), 512, set()
+    for _ in range(25):
+        n = int(rng.integers(900, 3000))
+        ends = np.unique(np.append(rng.integers(1, n, rng.integers(0, 6)), n))
+        sentences = np.unique(rng.integers(1, n, rng.integers(0, 12)))
+        at = sorted({0, n, *ends.tolist(), *sentences.tolist()})
+        at = sorted({*at, *[x for a, z in zip(at, at[1:]) for x in range(a + packing.GAP, z, packing.GAP)]})
+        price = {p: 0 if p in ends or final and p == n else packing.SENTENCE if p in sentences else packing.INSIDE for p in at}
+        powers = [1 << k for k in range(9) if packing.LEAST_POWER <= 1 << k < length]
+        pad = lambda w: 0 if w in powers else length - w  # noqa: E731, B023
+        best = {0: 0.0}
+        for p in at[1:]:
+            best[p] = min(best[q] + pad(p - q) + price[p] + packing.SEQUENCE for q in at if q in best and 0 < p - q <= length)
+        cuts = packing.choose_cuts(n, ends, sentences, final, length).tolist()
+        widths = np.diff([0, *cuts])
+        assert widths.max() <= length and widths.min() > 0
+        used |= set(widths.tolist()) & set(powers)
+        if final:  # the last sequence may be cut in powers of two, which only lowers the price
+            assert cuts[-1] == n
+            cuts = [c for c in cuts if c in best]
+            low = max((c for c in cuts if c < n and n - c <= length), default=0)
+            head = [c for c in cuts if c <= low]
+            assert sum(pad(b - a) + price[b] + packing.SEQUENCE for a, b in zip([0, *head], head)) == pytest.approx(best[low] if head else 0)
+        else:
+            assert sum(pad(b - a) + price[b] + packing.SEQUENCE for a, b in zip([0, *cuts], cuts)) == pytest.approx(best[cuts[-1]])
+    assert used
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     path = vocabulary("word_bpe_49k.json")
