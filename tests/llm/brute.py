@@ -46,7 +46,17 @@ def base_scores(docs):
 
 
 def tree_scores(docs, least, divergence, weights, order=2):
-    """log10 probability of each text: the suffix tree with dictionaries."""
+    """log10 probability of each text: the suffix tree with dictionaries.
+
+    It grows to ``order``, or without it as the operator's does, to the first length of which no context is kept.
+    """
+    if order is None:
+        last, order = None, 1
+        while True:
+            out = tree_scores(docs, least, divergence, weights, order)
+            if not any(len(c) == order for c in out[1]):
+                return last or out
+            last, order = out, order + 1
     toks = {k: words((t or "").translate(LOWER)) + [None] for k, t in docs.items()}
     train = [k for k in toks if zlib.crc32(str(k).encode()) % 7 != 2]
     count = Counter(tuple(toks[k][i - n : i + 1]) for k in train for i in range(len(toks[k])) for n in range(order + 1) if i >= n)

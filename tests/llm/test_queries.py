@@ -29,7 +29,8 @@ def test_jaccard(spark, docs):
 
 def test_suffix_tree(spark, docs):
     base = brute.base_scores(docs)
-    model, kept = brute.tree_scores(docs, suffix_tree.LEAST, suffix_tree.DIVERGENCE, suffix_tree.WEIGHTS.tolist())
+    model, kept = brute.tree_scores(docs, suffix_tree.LEAST, suffix_tree.DIVERGENCE, suffix_tree.WEIGHTS.tolist(), order=None)
+    assert {len(c) for c in kept} == {1, 2, 3, 4}  # as README says, the one kept context of length 6 behind an empty length is not reached
     rows = all_queries()["op3_lm_scoring"](spark, FOLDER).collect()
     assert len(rows) == len(docs) and len(kept) > 20
     for r in rows:
