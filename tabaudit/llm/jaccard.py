@@ -246,11 +246,16 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id (a null id last), then the smallest digest
-    of its text. Equal texts with the same id count as one, and so do those without shingles."""
+    of its text. Equal texts with the same id count as one, and so do those without shingles; of such rows the one stays
+    whose columns have the smallest hash."""
     c = _classes(docs, doc_id, text)
     first = F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("k")
-    keep = c.filter("root is not null").groupBy("root").agg(first).select("k.id", "k.digest").unionByName(c.filter("root is null").select("id", "digest"))
-    keep = keep.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    here = docs.withColumn("__text", _digest(text))
-    kept = here.join(keep, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")), "left_semi").drop("__text")
-    return kept.dropDuplicates([doc_id, text])
+    keep = c.filter("root is not null").groupBy("root").agg(first).select("k.id", "k.digest").unionByName(c.filter("root is null").select("id", "digest").distinct())
+    # rows of one id and text are told apart by all their columns; only those that nothing tells apart are compared whole
+    here = docs.select("*", _digest(text).alias("__text"), F.xxhash64(*docs.columns).alias("__whole"))
+    rows = here.groupBy(F.col(doc_id).alias("r_id"), F.col("__text").alias("r_digest"), F.col("__whole").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.groupBy("r_id", "r_digest").agg(F.min(F.struct("h", "n")).alias("x"))
+    keep = cut(keep.join(rows, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("x.h").alias("__h"), F.col("x.n").alias("__n")))
+    on = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")) & (F.col("__whole") == F.col("__h"))
+    alone, repeated = (here.join(keep.filter(f), on, "left_semi") for f in ("__n = 1", "__n > 1"))
+    return alone.unionByName(repeated.dropDuplicates([doc_id, "__text", "__whole"])).select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabaudit.functions.lineage import cut
-from tabaudit.llm.native import words_of
+from tabaudit.llm.native import aside, restored, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE, EPOCHS, SEED = 1.5, 2, "mix-1"
@@ -102,7 +102,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     return apply_plan(sized, plan(cut(sized.select(doc_id, source, "size")), doc_id, source, **options), doc_id, source)
 
 
-def repeated(docs: DataFrame, **columns) -> DataFrame:
-    """The mixed corpus itself: each document as many times as the mix takes it, in the input's columns."""
-    out = mix(docs, **columns).filter("repetitions > 0")
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("repetitions")))).select(*docs.columns)
+def repeated(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mixed corpus itself: each document as many times as the mix takes it, in the input's columns, unchanged."""
+    used = (doc_id, source, text)
+    out = mix(aside(docs, *used), doc_id, source, text, **options).filter("repetitions > 0")
+    return restored(out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("repetitions")))), docs.columns, *used)

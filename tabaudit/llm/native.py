@@ -35,3 +35,13 @@ def words_of(col: str | Column) -> Column:
 def total(values: Column) -> Column:
     """Sum of an array of whole numbers (0 when empty)."""
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+
+
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with only the ``used`` columns in sight; the others lie in one column, where no name can clash."""
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in used], F.lit(0).alias("__end")).alias("__aside"))
+
+
+def restored(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """The ``columns`` of the table that was put aside, in their order."""
+    return df.select(*[F.col(c) if c in used else F.col(f"__aside.`{c}`").alias(c) for c in columns])
