@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.lineage import cut
 from tabaudit.llm import jaccard, lines, mixing, packing, quality
-from tabaudit.llm.native import table
+from tabaudit.llm.native import aside, restored, table
 from tabaudit.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
-    return quality.quality(docs).filter("kept").select(*docs.columns)
+    return restored(quality.quality(aside(docs, "text")).filter("kept"), docs.columns, "text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines near an earlier one go; documents left without a word go too."""
-    out = lines.dedup_lines(docs).filter(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = restored(lines.dedup_lines(aside(docs, "doc_id", "text")), docs.columns, "doc_id", "text")
+    out = out.filter(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
