@@ -40,7 +40,7 @@ SEQUENCE, SENTENCE, INSIDE = 8, 8, 64
 #: Shortest sequence that goes unpadded before the stream's end; largest gap between allowed cuts.
 LEAST_POWER, GAP = 64, 256
 #: Tokens of a chunk, words looked up at once, words kept in the cache.
-CHUNK, LOOKUP, CACHE = 1 << 20, 300_000, 900_000
+CHUNK, LOOKUP, CACHE = 1 << 20, 700_000, 900_000
 
 
 class WordIds:
@@ -105,7 +105,7 @@ class WordIds:
         trimmed = pc.ascii_trim_whitespace(texts)
         split = pc.ascii_split_whitespace(pc.ascii_lower(trimmed) if self.fold is bytes.lower else trimmed)
         words = split.flatten().dictionary_encode()
-        known, at = words.dictionary.cast(pa.binary()).to_pylist(), self.at
+        known, at = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), self.at
         if new := [w for w in known if w not in at]:
             self.learn(new)
         idx = np.fromiter(map(at.__getitem__, known), np.int64, len(known))[words.indices.to_numpy()]
