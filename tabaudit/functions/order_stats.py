@@ -254,34 +254,48 @@ def cumulative(hist: DataFrame, keys: Sequence[str], x: str, sums: Mapping[str,
     )
 
 
+def _same_keys(keys: Sequence[str], other: str) -> Column:
+    """Null-safe equality of ``keys`` with columns named ``other`` + key."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{other}{k}"))
+    return on
+
+
+def _ordinal_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Numbers within groups of any size: rows are dealt by ranges of the keys and the whole order, sorted there and
+    numbered, and each range of a group is moved by the group's rows in the ranges before it."""
+    place = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # what all of these leave equal is told apart by the other columns, so that only equal rows stay together
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    dealt = df.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0))
+    numbered = cut(dealt.repartitionByRange(parts, *place, "_tie").sortWithinPartitions(*place, "_tie").drop("_tie").withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)  # the task is in the upper bits
+    pieces = numbered.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys], part.alias("_part")).agg(F.min("_m").alias("_lo"), F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*[f"_of_{k}" for k in keys]).orderBy("_part")) - F.col("_c")
+    pieces = pieces.select(*[f"_of_{k}" for k in keys], "_part", (before - F.col("_lo") + 1).alias("_move"))
+    joined = numbered.join(pieces, (part == F.col("_part")) & _same_keys(keys, "_of_"))
+    return joined.select(*df.columns, (F.col("_m") + F.col("_move")).cast("long").alias(out))
+
+
 def ordinal_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, hot_rows: int = 1_000_000) -> DataFrame:
-    """``row_number`` per group (from 1) that splits the groups above ``hot_rows``.
+    """``row_number`` per group (from 1; null is a key like others) in the order of all ``order`` columns, nulls first.
 
-    Small groups are numbered by a plain window. The rows of a hot group are
-    range-split on the first order column (a text by its first six bytes) and
-    numbered per range, offset by the sizes of the ranges before it.
+    The groups of up to ``hot_rows`` rows are numbered by a window, which is one exchange;
+    larger ones, by which a task would be filled, in ranges. Both give the same numbers.
     """
     keys, order = list(keys), list(order)
     if not keys:
         raise ValueError("a global order needs a row id column; align on it instead")
-    hot = cut(df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys))
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    hot = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).count().filter(F.col("count") > hot_rows).drop("count")
+    hot = cut(hot)
     if not hot.take(1):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    flagged = df.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    number = F.col(order[0])
-    if dict(df.dtypes)[order[0]] in ("timestamp", "date", "timestamp_ntz"):
-        number = F.unix_micros(number.cast("timestamp"))
-    elif dict(df.dtypes)[order[0]] == "string":
-        number = F.conv(F.rpad(F.hex(F.substring(number.cast("binary"), 1, 6)), 12, "0"), 16, 10)
-    flagged = flagged.withColumn("_num", number.cast("double"))
-    edges = value_edges(flagged.filter("_hot"), ["_num"])["_num"]
-    flagged = flagged.withColumn("_b", F.when(F.col("_hot"), F.coalesce(bucket_of(F.col("_num"), edges), F.lit(-1))).otherwise(F.lit(0)))
-    sizes = flagged.filter("_hot").groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    run = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b"))
-    offsets = sizes.select(*keys, "_b", (run - F.col("_c")).alias("_before"))
-    joined = flagged.join(offsets, [*keys, "_b"], "left")
-    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
-    return joined.withColumn(out, (F.coalesce("_before", F.lit(0)) + rank).cast("long")).select(*df.columns, out)
+        return df.withColumn(out, plain)
+    large = df.join(hot, _same_keys(keys, "_hot_"), "left_semi")
+    small = df.join(hot, _same_keys(keys, "_hot_"), "left_anti")
+    return small.withColumn(out, plain).unionByName(_ordinal_by_ranges(large, keys, order, out))
 
 
 def chunked_series(df: DataFrame, entity: Sequence[str], time: str, *, halo: int, chunk: int = 100_000, hot_rows: int = 1_000_000) -> DataFrame:

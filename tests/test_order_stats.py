@@ -121,3 +121,15 @@ def test_complements_of_many_parts_are_linear(spark):
     assert len(got) == 2000
     for p in (0, 7, 1999):
         assert got[p] == pytest.approx(pdf[pdf.p != p].x.median(), rel=1e-12)
+
+
+def test_hot_groups_with_a_constant_first_column_and_a_null_key(spark):
+    n = 4000
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, "k").alias("k"), F.lit("same").alias("a"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("a long text, equal to the last "), F.col("id").cast("string"))).alias("b"), "id")
+    plain = O.ordinal_in_group(df, ["k"], ["a", "b", "id"], "rn")
+    split = O.ordinal_in_group(df, ["k"], ["a", "b", "id"], "rn", hot_rows=100)
+    assert split.count() == n and split.exceptAll(plain).count() == 0
+    ranges = O._ordinal_by_ranges(df, ["k"], ["a", "b", "id"], "rn")
+    assert ranges.exceptAll(plain).count() == 0
+    tasks = df.repartitionByRange(8, "k", "a", "b", "id").select("k", F.spark_partition_id().alias("p")).groupBy("k").agg(F.countDistinct("p").alias("n")).collect()
+    assert all(r["n"] > 2 for r in tasks)
