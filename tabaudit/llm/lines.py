@@ -35,8 +35,11 @@ MIN_WORDS = 5
 
 
 def _lines(text: Column) -> Column:
-    """Array of the lines, with single spaces; one may stand at either end."""
-    return F.split(F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " "), "\n", -1)
+    """Array of the lines, with single spaces; one may stand at either end. Most texts have no other white space, which plain searches tell."""
+    odd = F.lit(False)
+    for space in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(text, F.lit(space))
+    return F.split(F.when(odd, F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(text), "\n", -1)
 
 
 def _n_words(line: Column) -> Column:
@@ -56,21 +59,29 @@ def _identity(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line), F.xxhash64(F.lit(7), line)
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """(key, m, side), one of which any line within one edit shares: the first (side 0) or last (1) m words, m half of the shorter line's."""
-    m = (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int"))
-    keys = [F.struct(F.xxhash64(F.lit(s), x, f(line, x)).alias("k"), x.alias("m"), F.lit(s).alias("side")) for x in m for s, f in ((0, _first), (1, _last))]
-    return F.when(n < MIN_WORDS, F.array().cast("array<struct<k:bigint,m:int,side:int>>")).otherwise(F.array_distinct(F.array(*keys)))
+def _halves(line: str, n: str, m: tuple[str, str]) -> Column:
+    """(key, m, side), one of which any line within one edit shares: the first (side 0) or last (1) m words, m half of the shorter line's.
+
+    Column names: the line, its number of words, and the halves for a line of as many words and of one more.
+    """
+    def keys(c: str) -> list[Column]:
+        x = F.col(c)
+        return [F.struct(F.xxhash64(F.lit(s), x, f(F.col(line), x)).alias("k"), x.alias("m"), F.lit(s).alias("side")) for s, f in ((0, _first), (1, _last))]
+
+    both = F.when(F.col(m[0]) == F.col(m[1]), F.array(*keys(m[0]))).otherwise(F.array(*keys(m[0]), *keys(m[1])))
+    return F.when(F.col(n) < MIN_WORDS, F.array().cast("array<struct<k:bigint,m:int,side:int>>")).otherwise(both)
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line: id, th (hash of the text), pos, l1 and l2 (null without words), halves."""
     t = text_of(text)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("th"), F.posexplode(_lines(t)).alias("pos", "raw"))
-    rows = rows.withColumn("line", F.trim(F.col("raw")))
+    # each step a projection of its own, so that what is used several times is computed once
+    rows = rows.withColumn("line", F.trim(F.col("raw"))).withColumn("n", _n_words(F.col("line")))
+    rows = rows.withColumn("m0", F.shiftright("n", 1)).withColumn("m1", F.shiftright(F.col("n") - 1, 1))
     line, full = F.col("line"), F.col("line") != ""
     l1, l2 = _identity(line)
-    return rows.select("id", "th", "pos", F.when(full, l1).alias("l1"), F.when(full, l2).alias("l2"), F.when(full, _halves(line, _n_words(line))).alias("halves"))
+    return rows.select("id", "th", "pos", F.when(full, l1).alias("l1"), F.when(full, l2).alias("l2"), F.when(full, _halves("line", "n", ("m0", "m1"))).alias("halves"))
 
 
 def _order(*cols: str) -> Column:
