@@ -45,3 +45,15 @@ def test_no_shared_key_is_an_error(spark):
     a, b = (spark.createDataFrame([(k, 1)], "k string, v int") for k in "ab")
     with pytest.raises(ValueError, match="no key"):
         align_by_key(a, b, b, ["k"], ["v"], check=True)
+
+
+def test_distinct_counts_of_few_and_many_values(spark, monkeypatch):
+    from tabaudit.operators import profile as P
+
+    df = spark.range(3000).select((F.col("id") % 7).alias("few"), F.col("id").alias("many"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("zero"),
+                                  F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"), F.lit(None).cast("string").alias("none"))
+    for limit in (5_000, 100, 0):
+        monkeypatch.setattr(P, "FEW_VALUES", limit)
+        got = {r["column"]: (r["n_distinct"], r["n_null"]) for r in P.column_counts(df).collect()}
+        assert got == {"few": (7, 0), "many": (3000, 0), "zero": (1, 0), "text": (2000, 1000), "none": (0, 3000)}
+    assert P.column_counts(df.limit(0)).collect()[0]["n_rows"] == 0
