@@ -64,11 +64,11 @@ def test_statuses_and_tolerance(spark):
 def test_alignment_errors(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
     b = spark.createDataFrame([(1, "x")], "k int, v string")
-    with pytest.raises(ValueError, match="not unique"):
+    with pytest.raises(ValueError, match="several rows"):
         V.align_by_id(b, a, b, ["k"])
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no id column"):
         V.align_by_id(b, b, b, ["nope"])
-    with pytest.raises(ValueError, match="in common"):
+    with pytest.raises(ValueError, match="share no id"):
         V.align_by_id(b, b.withColumn("k", F.lit(2)), b, ["k"])
     with pytest.raises(ValueError, match="row id"):
         V.align_by_key(b, b, b, [], ["v"])
