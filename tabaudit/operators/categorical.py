@@ -1,7 +1,7 @@
 """Categorical audits: broken dependencies, overwritten cells, conditional missingness.
 
-Each audit reads the table once, into one count table over (context, slicer,
-target) values; everything after it works on those counts.
+Each audit works on one count table over (context, slicer, target) values, which is
+summed up from joint counts of blocks of columns (see ``cube``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.lineage import cut
+from tabaudit.operators.cube import combination_counts
 from tabaudit.operators.findings import to_findings
 from tabaudit.operators.slices import MIN_N
 
@@ -25,15 +26,8 @@ PLACE = ["context", "context_level", "slicer", "target"]
 
 def _cells(df: DataFrame, contexts: Sequence[str | None], slicers: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """Counts per (context, context_level, slicer, level, target, value); null slicers and values are kept as null."""
-    def places(cols: Sequence[str | None], name: str, level: str):
-        return F.array(*[F.struct(F.lit(c or "").alias(name), (F.col(c).cast("string") if c else F.lit("")).alias(level)) for c in cols])
-
-    one = df.select(places(contexts, "context", "context_level").alias("c"), places(slicers, "slicer", "level").alias("s"),
-                    places(targets, "target", "value").alias("t"))
-    long = one.select(F.explode("c").alias("c"), "s", "t").filter("c.context_level is not null").select("c", F.explode("s").alias("s"), "t").select(
-        "c.*", "s.*", F.explode("t").alias("t")).select("context", "context_level", "slicer", "level", "t.*")
-    keep = (F.col("slicer") != F.col("target")) & (F.col("context") != F.col("slicer")) & (F.col("context") != F.col("target"))
-    return long.filter(keep).groupBy("context", "context_level", "slicer", "level", "target", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = combination_counts(df, [("context", "context_level", contexts), ("slicer", "level", slicers), ("target", "value", targets)])
+    return counts.filter("context_level is not null")
 
 
 def _purity(counts: DataFrame) -> DataFrame:
@@ -66,14 +60,12 @@ def overwritten_cells(df: DataFrame, slicers: Sequence[str], targets: Sequence[s
     """Cells where exactly one level holds one value while its siblings are mixed."""
     if counts is None:
         counts = cut(_cells(df, [None, *slicers], slicers, targets))
-    sizes = df.select(F.explode(F.array(
-        F.struct(F.lit("").alias("context"), F.lit("").alias("context_level")),
-        *[F.struct(F.lit(c).alias("context"), F.col(c).cast("string").alias("context_level")) for c in slicers])).alias("e")
-    ).select("e.*").groupBy("context", "context_level").count().filter((F.col("context") == "") | (F.col("count") >= 2 * MIN_N)).drop("count")
+    # every row of a context is in each of its (slicer, target) tables
+    sizes = counts.groupBy(*PLACE).agg(F.sum("n").alias("rows")).filter((F.col("context") == "") | (F.col("rows") >= 2 * MIN_N)).drop("rows")
     purity = cut(_purity(counts))
     fd = _dependencies(purity).select("slicer", "target")
     pure = (F.col("share") >= PURE) & (F.col("n_level") >= MIN_N)
-    cell = purity.join(sizes, ["context", "context_level"]).join(fd, ["slicer", "target"], "left_anti").groupBy(*PLACE).agg(
+    cell = purity.join(sizes, PLACE).join(fd, ["slicer", "target"], "left_anti").groupBy(*PLACE).agg(
         F.count(F.lit(1)).alias("levels"), F.count(F.when(pure, 1)).alias("pure"), F.count(F.when(F.col("share") <= MIXED, 1)).alias("mixed"),
         F.max(F.when(pure, F.struct("level", "top", "n_level"))).alias("p"),
     ).filter("levels >= 2 and pure = 1 and mixed >= 1").select(*PLACE, F.col("p.level").alias("lv"), F.col("p.top").alias("top"), F.col("p.n_level").alias("n"))
