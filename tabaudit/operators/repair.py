@@ -8,8 +8,6 @@ same value.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -20,12 +18,12 @@ from tabaudit.functions.lineage import cut
 from tabaudit.functions.order_stats import bucket_of, cumulative, ordinal_in_group, value_edges
 from tabaudit.functions.predicates import as_number, slice_pred, window_pred
 from tabaudit.functions.rng import HEX_DIGITS, SCALE, key_sql, key_text, uniform
+from tabaudit.operators.frozen import DOMINANT, apply_stage, ladder, salt_of, stages
 from tabaudit.sources.clean import TOKEN_PATTERN, TOKEN_SUFFIX, token
 
 REVIEW_ONLY = ("flag_entity", "flag_fd")
 YEAR_REPAIR = "interpolate_year"
 MAX_GAP, MAX_CARRY = 8, 3
-DOMINANT = 0.75
 BLOCK_ROWS = 200_000
 
 
@@ -136,16 +134,8 @@ def repair_missing(df: DataFrame, target: str, rows: Column, dist: Mapping[str,
     """Fill the nulls of a slice: the dominant category if there is one, else draws from ``dist``."""
     if not dist:
         return df
-    items = sorted(dist.items(), key=lambda kv: (-kv[1], kv[0]))
-    total = reduce(add, dist.values(), 0.0)  # added up in map order, as the SQL text does
-    if items[0][1] / total >= DOMINANT:
-        value = F.lit(items[0][0])
-    else:
-        steps, run = [], 0.0
-        for k, v in items:
-            run += v / total
-            steps.append((k, run))
-        value = _ladder(uniform(key_text(keys), salt), steps)
+    steps = ladder(dist)
+    value = F.lit(steps[0][0]) if len(steps) == 1 else _ladder(uniform(key_text(keys), salt), steps)
     hole = rows & F.col(target).isNull()
     return df.withColumn(target, F.when(hole, value.cast(df.schema[target].dataType)).otherwise(F.col(target)))
 
@@ -180,7 +170,7 @@ def apply_repair(df: DataFrame, f: Row, keys: Sequence[str], seed: int = 0) -> D
     """Apply the repair of one finding."""
     r, t = f["repair"], f["target"]
     kind = r["type"]
-    salt = f"{seed}|{f['kind']}|{f['slicer']}|{f['level']}|{t}"
+    salt = salt_of(f, seed)
     if kind in REVIEW_ONLY:
         return df
     if kind == YEAR_REPAIR:
@@ -207,8 +197,11 @@ def _series(f: Row) -> tuple:
 
 
 def apply_all(df: DataFrame, findings: Sequence[Row], keys: Sequence[str], confidences: Sequence[str] = ("REPAIR",), seed: int = 0) -> DataFrame:
-    """Apply the repairs of the findings in order; helper columns are added and dropped again."""
-    chosen = [f for f in findings if f["repair"] is not None and f["confidence"] in confidences]
+    """Apply the repairs of the findings in order; helper columns are added and dropped again.
+
+    Repairs that need no other rows are applied many at once (see ``frozen``).
+    """
+    chosen = [f for f in findings if f["repair"] is not None and f["confidence"] in confidences and f["repair"]["type"] not in REVIEW_ONLY]
     columns = df.columns
     helpers = {c[: -len(TOKEN_SUFFIX)] for f in chosen for c in (f["slicer"], f["context"]) if c and c.endswith(TOKEN_SUFFIX) and c not in columns}
     if helpers:
@@ -218,13 +211,18 @@ def apply_all(df: DataFrame, findings: Sequence[Row], keys: Sequence[str], confi
     for f in chosen:
         if f["repair"]["type"] == YEAR_REPAIR:
             years.setdefault(_series(f), []).append(f)
-    for f in chosen:
-        if f["repair"]["type"] != YEAR_REPAIR:
-            df = apply_repair(df, f, keys, seed)
-        elif same := years.pop(_series(f), None):  # all bad years of a column in one pass
+    first = {id(same[0]) for same in years.values()}
+    for stage in stages([f for f in chosen if f["repair"]["type"] != YEAR_REPAIR or id(f) in first], keys):
+        f = stage.found[0][1]
+        if f["repair"]["type"] == YEAR_REPAIR:  # all bad years of a column in one pass
+            same = years[_series(f)]
             fix = sorted({x["repair"]["year"] for x in same})
             bad = sorted({y for x in same for y in x["repair"]["all_years"] or [x["repair"]["year"]]})
             df = repair_interpolate(df, f["target"], f["repair"]["entity_col"], f["repair"]["time_col"], fix, bad)
+        elif len(stage.found) == 1:
+            df = apply_repair(df, f, keys, seed)
+        else:
+            df = apply_stage(df, stage, keys, seed)
     return df.select(*columns)
 
 
