@@ -84,3 +84,15 @@ def test_a_thousand_findings_are_one_join(spark):
     k = F.col("id") % 1000
     x, y = F.when(k % 2 == 0, F.lit(100.0) / (k % 7 + 1)).otherwise(100.0), F.when(k % 2 == 1, F.lit(8.0) - (k % 7 + 1)).otherwise(8.0)
     assert out.filter((F.col("x") != x) | (F.col("y") != y)).count() == 0
+
+
+def test_many_repairs_on_a_stream(spark, df, tmp_path):
+    from tabaudit.streaming import repair_stream
+
+    found = [f for f in mixed(4, 12) if f["confidence"] == "REPAIR"]
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = repair_stream(stream, found, ["id"]).writeStream.format("memory").queryName("many").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(str, spark.table("many").collect())) == sorted(map(str, R.apply_all(df, found, ["id"]).collect()))
