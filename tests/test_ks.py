@@ -63,3 +63,27 @@ def test_vs_rest_and_small_sides(spark):
 def test_equal_multisets_have_distance_zero(spark):
     df = spark.range(0, 400).select((F.col("id") % 7).cast("double").alias("x"), F.lit(1).alias("k"))
     assert K.ks_two_sample(df, df.repartition(3), ["k"]).first()["ks"] == 0.0
+
+
+def test_cells_settle_most_points_of_a_grid(spark):
+    """With ``prune`` the least distance stays exact, points asked for exactly too, and few points move every value."""
+    rng = np.random.default_rng(7)
+    a, b = np.round(rng.normal(2, 1, 6000), 4), np.round(np.concatenate([rng.normal(0, 1, 6000), np.full(900, 0.25)]), 4)
+    one = lambda x, **k: spark.createDataFrame(pd.DataFrame({**k, "e": "e", "x": x})).groupBy(*k, "e", "x").agg(F.count(F.lit(1)).alias("n"))
+    ds = [0.0, *[float(d) for d in np.linspace(1, 3, 21)]]
+    grid = spark.createDataFrame([("p", i, d, 1.0, d == 0) for i, d in enumerate(ds)], "pid string, g int, d double, r double, exact boolean")
+    members = spark.createDataFrame([("p", "u")], "pid string, k string")
+    ha, hb = one(a, pid="p"), one(b, k="u")
+    edges = {"e": value_edges(hb, ["x"])["x"]}
+    got = K.ks_grid(ha, hb, members, grid, problem=["pid"], base=["k"], edges=edges, edges_key="e", prune=True).collect()
+    want = [ks_numpy(a - d, b) for d in ds]
+    assert sorted(r["g"] for r in got) == list(range(22))
+    best = min(got, key=lambda r: (r["ks"], r["g"]))
+    assert best["g"] == int(np.argmin(want)) and best["ks"] == pytest.approx(min(want), abs=1e-12)
+    assert got[[r["g"] for r in got].index(0)]["ks"] == pytest.approx(want[0], abs=1e-12)
+    cells = ha.groupBy("pid", "e", K.bucket_by(F.col("x"), F.col("e"), edges, K.CELLS_FINE).alias("c")).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.sum("n").alias("_n"))
+    mem = members.select(F.xxhash64("pid").alias("_p"), F.xxhash64("k").alias("_k"))
+    bounds = {r["g"]: r for r in K._grid_bounds(cells, hb.select(F.xxhash64("k").alias("_k"), F.col("e").alias("_e"), "x", "n"), mem, grid, ["pid"], "e", edges).collect()}
+    assert all(bounds[g]["_known"] - 1e-12 <= want[g] <= bounds[g]["_most"] + 1e-12 for g in range(22))
+    limit = min(r["_most"] for r in bounds.values())
+    assert sum(r["_known"] <= limit for r in bounds.values()) <= 4
