@@ -21,11 +21,13 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
@@ -36,6 +38,8 @@ from tabaudit.llm.native import text_of
 CONTROLS = ("<turn>", "<text>", "</turn>")
 LEARNED_ROLE = "assistant"
 ROW_TOKENS = 1 << 20
+#: Characters that are encoded, and ids that are decoded, in one call of the tokenizer (one text or turn may have more).
+CALL_CHARS, CALL_IDS = 1 << 18, 1 << 16
 _ESCAPE = re.compile("|".join(map(re.escape, ("\\", *CONTROLS))))
 _UNESCAPE = re.compile(r"\\(" + _ESCAPE.pattern + ")")
 
@@ -48,10 +52,23 @@ def unescape(s: str) -> str:
     return _UNESCAPE.sub(lambda m: m[1], s)
 
 
+def stretches(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of successive stretches of at most ``most`` in all; an item above that is a stretch of its own."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
 class Codec:
     """A byte-level tokenizer and the reserved ids behind its vocabulary."""
 
     def __init__(self, spec: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
@@ -60,7 +77,7 @@ class Codec:
         self.open, self.text, self.close = range(size, size + 3)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]  # without places in the text
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -75,10 +92,14 @@ def _codec(spec: Callable[[], str], name: str) -> Codec:
     return _WORKER[name]
 
 
+def _chars(b: pa.RecordBatch) -> list[int]:
+    return pc.add(pc.utf8_length(b.column(2)), pc.utf8_length(b.column(3))).to_pylist()
+
+
 def _encoder(spec: Callable[[], str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _codec(spec, name)
-        for b in batches:
+        for b in (b.slice(i, j - i) for b in batches for i, j in stretches(_chars(b), CALL_CHARS)):
             roles, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
             r, t = c.encode([escape(x) for x in roles]), c.encode([escape(x) for x in texts])
             ids = [np.array([c.open, *x, c.text, *y, c.close], dtype="<u4").tobytes() for x, y in zip(r, t)]
@@ -109,7 +130,8 @@ def _assembler(row_tokens: int):
         began = False
         for b in batches:
             kind = b.schema.field(0).type
-            for conv, ids, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for conv, ids, learn in zip(*b.columns):
+                conv, ids, learn = conv.as_py(), ids.as_py(), learn.as_py()
                 fresh = not began or conv != now
                 if turns and (fresh or size + len(ids) // 4 > row_tokens):
                     yield row()
@@ -161,8 +183,9 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
         kind = None
         for b in batches:
             kind = b.schema.field(0).type
-            col = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            for conv, part, raw, bits in zip(col["conv_id"], col["part"], col["ids"], col["loss_mask"]):
+            cols = [b.column(n) for n in ("conv_id", "part", "ids", "loss_mask")]
+            for conv, part, raw, bits in zip(*cols):  # a row at a time: some have millions of ids
+                conv, part, raw, bits = conv.as_py(), part.as_py(), raw.as_buffer(), bits.as_buffer()
                 if part == 0:
                     if state:
                         close()
@@ -170,18 +193,21 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
                 ids = np.frombuffer(raw, "<u4")
                 mask = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(ids)].astype(bool)
                 o, t, e = (np.flatnonzero(ids == x) for x in (c.open, c.text, c.close))
-                roles = c.decode([ids[a + 1 : z].tolist() for a, z in zip(o, t)])
-                texts = c.decode([ids[a + 1 : z].tolist() for a, z in zip(t, e)])
-                for role, text in zip(roles, texts):
-                    state[1] += 1
-                    state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                    state[5] += sum(map(len, CONTROLS)) + len(role) + len(text)
+                for i, j in stretches((e - o).tolist(), CALL_IDS):
+                    roles = c.decode([ids[a + 1 : z].tolist() for a, z in zip(o[i:j], t[i:j])])
+                    texts = c.decode([ids[a + 1 : z].tolist() for a, z in zip(t[i:j], e[i:j])])
+                    for role, text in zip(roles, texts):
+                        state[1] += 1
+                        state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                        state[5] += sum(map(len, CONTROLS)) + len(role) + len(text)
                 # what is learned is read from the mask alone
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                for s in c.decode([ids[a:z].tolist() for a, z in zip(edge[::2], edge[1::2])]):
-                    s = unescape(s)
-                    state[3] += len(s)
-                    state[4].update(s.encode())
+                first, last = edge[::2], edge[1::2]
+                for i, j in stretches((last - first).tolist(), CALL_IDS):
+                    for s in c.decode([ids[a:z].tolist() for a, z in zip(first[i:j], last[i:j])]):
+                        s = unescape(s)
+                        state[3] += len(s)
+                        state[4].update(s.encode())
             if len(out) >= 10_000:
                 yield batch(out, kind)
                 out = []
