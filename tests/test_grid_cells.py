@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions import ks as K
 from tabaudit.functions.lineage import cut
-from tabaudit.functions.order_stats import bucket_of, value_edges, with_bucket
+from tabaudit.functions.order_stats import bucket_of, value_edges, made_once
 
 
 def plan(df):
@@ -17,7 +17,7 @@ def test_bucket_is_written_out_once(spark):
     df = spark.range(100).select((F.col("id") * 1.0).alias("x"))
     bucket = bucket_of(F.col("x"), [0.0, 10.0, 50.0, 99.0])
     need = F.broadcast(spark.range(5).select(F.col("id").cast("int").alias("_b")))
-    out = with_bucket(df, "_b", bucket).join(need, "_b")
+    out = made_once(df, "_b", bucket).join(need, "_b")
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("WHEN (x") + text.count("WHEN (cast") <= str(bucket).count("WHEN (x") + 2
     assert "Generate explode(array(" in text
